@@ -101,3 +101,21 @@ def mix(docs: DataFrame, max_copies: int = 3, weights: tuple[int, ...] = WEIGHTS
     out = marked.join(last, F.col("row") == F.col("last"), "left")
     copies = F.col("whole") + (F.col("sampled") | F.col("last").isNotNull()).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *(["kept"] if extra else []))
+
+
+def mixture(docs: DataFrame, max_copies: int = 3, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them."""
+    ws = Workspace(docs.sparkSession, "mixture")
+    taken = mix(docs, max_copies, weights, keep=F.xxhash64("text"))
+    copies = taken.groupBy(F.col("doc_id").alias("id"), F.col("kept").alias("tk")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = small(ws.table(copies, "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk"))
+    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    once = rows.join(copies.where("rows = 1 AND copies > 0"), same)
+    out = once.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("n"))
+    again = ws.table(copies.where("rows > 1 AND copies > 0"), "again")
+    if not again.isEmpty():  # rows that repeat share what their id and text are given
+        number = F.row_number().over(Window.partitionBy("id", "tk").orderBy(F.lit(0)))
+        many = rows.join(small(again), same).withColumn("own", F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int"))
+        out = out.unionByName(many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("own").cast("int"))).alias("n")))
+    return out.drop("n")

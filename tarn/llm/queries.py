@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import media, mixing, packing, secrets, tokens, topk
+from tarn.llm import jaccard, lines, media, mixing, packing, quality, secrets, tokens, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,24 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 @query
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_media(media.store_texts(read(spark, sf_dir, "documents")))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return t.withColumn("spans", F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s.start, s.stop))))
+
+
+@query
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
