@@ -30,8 +30,12 @@ from tarn.llm.common import ship, tokenizer_path
 
 WINDOW, END, PIECE, GROUP = 2048, 1, 512, 768
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct chunks, and distinct pre-tokens, whose ids a worker keeps; the memory then starts anew.
-CACHE = 800_000
+#: Distinct chunks whose ids a worker keeps; the memory then starts anew.
+CACHE = 1_200_000
+#: Marks that often end a chunk of letters and are pre-tokens of their own there.
+ENDINGS = b".,!?;:"
+#: Documents whose new chunks are learned together.
+TOGETHER = 64
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -52,7 +56,6 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.split = regex.compile(self.PRETOKEN).findall
         self.odd = regex.compile(r"[^\p{L}\p{N}\p{P}\p{S}]|<\|").search
         vocabulary = self.tokenizer.get_vocab()
@@ -60,43 +63,73 @@ class ChunkTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
-            text = low
-        parts = text.encode("utf-8", "replace").split()
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """Of several texts, whose new chunks are learned together."""
         known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
         if len(known) > CACHE:
             known.clear()
-        self._learn([c for c in dict.fromkeys(parts) if c not in known])
-        return b"".join(map(known.__getitem__, parts))
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        plain, words = {}, {}
-        for c in new:
-            s = c.decode()
-            if self.odd(s) or s != s.lower() or not is_normalized("NFC", s):
-                self.chunks[c] = self._encode(s)
+        get, rows, plain, odd = known.get, [], set(), set()
+        for text in texts:
+            if not text:
+                rows.append(([], [], []))
+                continue
+            folded = "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower())
+            parts = (low if folded else text).encode("utf-8", "replace").split()
+            found = list(map(get, parts))
+            missing = [i for i, x in enumerate(found) if x is None]
+            (plain if folded else odd).update(parts[i] for i in missing)
+            rows.append((parts, found, missing))
+        if plain or odd:
+            self._learn(plain, odd)
+        out = []
+        for parts, found, missing in rows:
+            for i in missing:
+                found[i] = known[parts[i]]
+            out.append(b"".join(found))
+        return out
+
+    def _learn(self, plain: set[bytes], odd: set[bytes]) -> None:
+        """plain: chunks of texts that are folded and composed. Pre-tokens are chunks too."""
+        known = self.chunks
+        for c in odd - plain:
+            known[c] = self._encode(c.decode())
+        new: dict[bytes, None] = {}
+        cut: list[tuple[bytes, list[bytes]]] = []
+        for c in plain:
+            if c.isalpha():  # ASCII letters
+                new[c] = None
+                continue
+            if c[:-1].isalpha() and c[-1] in ENDINGS:
+                pieces = [c[:-1], c[-1:]]
             else:
-                plain[c] = pieces = self.split(s)
-                words.update((w, None) for w in pieces if w not in self.words)
-        if words:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(words) and cuts[-1] == len(ids):
+                s = c.decode()
+                if s.isalpha():
+                    new[c] = None
+                    continue
+                if self.odd(s):
+                    known[c] = self._encode(s)
+                    continue
+                pieces = [x.encode() for x in self.split(s)]
+                if len(pieces) == 1:
+                    new[c] = None
+                    continue
+            cut.append((c, pieces))
+            for w in pieces:
+                if w not in known:
+                    new[w] = None
+        if new:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(new) and ends[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
-                for w, e in zip(words, (4 * cuts).tolist(), strict=True):
-                    self.words[w], at = raw[at:e], e
+                for w, e in zip(new, (4 * ends).tolist(), strict=True):
+                    known[w], at = raw[at:e], e
             else:
-                self.words.update((w, self._encode(w)) for w in words)
-        for c, pieces in plain.items():
-            self.chunks[c] = b"".join(map(self.words.__getitem__, pieces))
+                known.update((w, self._encode(w.decode())) for w in new)
+        for c, pieces in cut:
+            known[c] = b"".join([known[w] for w in pieces])
 
     def _encode(self, s: str) -> bytes:
         return np.asarray(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -166,8 +199,8 @@ class Packer:
         self.tok, self.window, self.next, self.tails = tok, window, task << 40, []
         self.piece = max(1, min(PIECE, window // 4))
 
-    def add(self, key, text: str | None) -> Iterator[tuple]:
-        raw = self.tok.ids(text) + END.to_bytes(4, "little")
+    def add(self, key, ids: bytes) -> Iterator[tuple]:
+        raw = ids + END.to_bytes(4, "little")
         n, at = len(raw) // 4, 0
         while n - at >= self.window:
             yield key, at, self.window, zlib.crc32(raw[4 * at : 4 * (at + self.window)]), n, self.next, 0
@@ -205,8 +238,10 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
 
         rows: list[tuple] = []
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows += packer.add(key, text.as_py())
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                for key, ids in zip(part.column(0).to_pylist(), packer.tok.ids_of(part.column(1).to_pylist()), strict=True):
+                    rows += packer.add(key, ids)
                 if len(rows) >= 20_000:
                     yield out(rows)
                     rows = []
