@@ -79,7 +79,7 @@ sql_query("window_offsets", """
 SELECT o_orderkey, lag(o_orderkey) OVER w AS a, lag(o_orderkey, 2, CAST(-1 AS BIGINT)) OVER w AS b, lead(o_orderkey, 1) OVER w AS c, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n
 FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""", tables="orders")
 sql_query("window_rows_frame", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, min(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM {lineitem}", tables="lineitem")
-sql_query("window_range_frame", "SELECT p_partkey, p_size, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, round(avg(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size), 4) AS running FROM {part}", tables="part")
+sql_query("window_range_frame", "SELECT p_partkey, p_size, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size) AS running FROM {part}", tables="part")
 sql_query("window_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM {events}", tables="events")
 sql_query("window_whole_partition", "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 10) AS share, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM {orders}", tables="orders")
 

@@ -63,3 +63,20 @@ def delete(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = filesystem(spark, path)
     return fs.exists(p)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tarn_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp()) / "tarn_package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(to))
+    sc._tarn_shipped = True
