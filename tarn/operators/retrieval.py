@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.search import DISTANCES, to_tsvector
+from tarn.functions.search import DISTANCES
+from tarn.workspace import Workspace
 
 #: Fixed values of the score.
 K1, B, RRF = 1.2, 0.75, 60
@@ -24,15 +25,21 @@ def _is(word: str):
 
 
 def bm25(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """key and score of the rows that have a term of the query. Statistics are those of df, so filters belong before."""
+    """key and score of the rows that have a term of the query. Statistics are those of df, so filters belong before.
+
+    A pass over the texts writes a narrow table of lengths and term counts, from which statistics and scores are made.
+    """
     import re
 
     terms = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
-    docs = df.select(key, to_tsvector(F.col(text)).alias("tokens"))
-    counts = [F.size(F.filter("tokens", _is(w))) for w in terms]
-    docs = docs.select(key, F.size("tokens").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
+    if not terms:
+        return df.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    low = F.lower(text)
+    hits = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])({'|'.join(terms)})(?![a-z0-9])"), 1)
+    docs = df.select(key, F.coalesce(F.regexp_count(low, F.lit("[a-z0-9]+")), F.lit(0)).alias("len"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
+    docs = Workspace(df.sparkSession, "bm25").table(docs.select(key, "len", *(F.size(F.filter("hits", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms))), "counts")
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    rows = docs.join(F.broadcast(stats))  # one row
+    rows = docs.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, n, dfi = F.col(f"tf{i}"), F.col("n"), F.col(f"df{i}")
