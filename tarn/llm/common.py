@@ -1,18 +1,15 @@
-"""What the corpus operators share: shipping the package, tables in the shared folder, checked broadcasts."""
+"""What the corpus operators share: words, held-out rows, joins by document, checked broadcasts."""
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import tarn
+from tarn.workspace import Workspace, ship
+
+__all__ = ["BROADCAST_ROWS", "WORD", "Workspace", "crc_mod", "held", "same_row", "ship", "small", "tokenizer_path", "words_count"]
 
 #: ASCII white space; words are maximal runs of anything else. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,64 +17,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tarn_shipped", False):
-        return
-    home = Path(tarn.__file__).resolve().parent
-    to = Path(tempfile.mkdtemp()) / "tarn_package.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(home.rglob("*.py")):
-            z.write(p, p.relative_to(home.parent))
-    sc.addPyFile(str(to))
-    sc._tarn_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        sc = spark.sparkContext
-        if not getattr(sc, "_tarn_dir", None):
-            sc._tarn_dir = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
-        d = sc._tarn_dir
-    return d.rstrip("/")
-
-
-class Workspace:
-    """Tables written to the shared folder, which cut lineage and outlive executors. drop() deletes what is no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._tarn_keep = self  # ids stay unique while the frame lives
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of plans that have run."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small, else as it is. df should be a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_key): docs' rows as structs, beside what they are joined by; their other names then can't clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_key"))
+
+
+def same_row(a: str, b: str) -> Column:
+    """Equal ids, null or not, and text hashes."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+
+
 def words_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Workspace, small, words_count
+from tarn.llm.common import Workspace, held, same_row, small, words_count
 
 RANK_CELLS = 4096
 SEED = "mix-1"
@@ -107,15 +107,12 @@ def mixture(docs: DataFrame, max_copies: int = 3, weights: tuple[int, ...] = WEI
     """The rows of docs, with all their columns, as often as the mix takes them."""
     ws = Workspace(docs.sparkSession, "mixture")
     taken = mix(docs, max_copies, weights, keep=F.xxhash64("text"))
-    copies = taken.groupBy(F.col("doc_id").alias("id"), F.col("kept").alias("tk")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = small(ws.table(copies, "copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk"))
-    rows = docs.withColumn("text_key", F.xxhash64("text"))
-    once = rows.join(copies.where("rows = 1 AND copies > 0"), same)
-    out = once.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("n"))
-    again = ws.table(copies.where("rows > 1 AND copies > 0"), "again")
+    copies = ws.table(taken.groupBy("doc_id", F.col("kept").alias("text_key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "copies")
+    rows = held(docs).alias("r")
+    once = rows.join(small(copies.where("rows = 1")).alias("c"), same_row("r", "c")).select("r.row", F.col("c.copies").alias("own"))
+    again = copies.where("rows > 1")
     if not again.isEmpty():  # rows that repeat share what their id and text are given
-        number = F.row_number().over(Window.partitionBy("id", "tk").orderBy(F.lit(0)))
-        many = rows.join(small(again), same).withColumn("own", F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int"))
-        out = out.unionByName(many.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("own").cast("int"))).alias("n")))
-    return out.drop("n")
+        number = F.row_number().over(Window.partitionBy("r.doc_id", "r.text_key").orderBy(F.lit(0)))
+        many = rows.join(small(again).alias("c"), same_row("r", "c"))
+        once = once.unionAll(many.select("r.row", (F.floor(F.col("c.copies") / F.col("c.rows")) + (number <= F.col("c.copies") % F.col("c.rows")).cast("int")).alias("own")))
+    return once.select("row", F.explode(F.array_repeat(F.lit(0), F.col("own").cast("int")))).select("row.*")

@@ -79,8 +79,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows and (t is None or n > 200_000):
                 ids = np.concatenate(rows)
                 joined = np.ones(len(ids), bool)  # False at a document's end
-                joined[np.cumsum([len(r) for r in rows if len(r)]) - 1] = False
-                left = np.flatnonzero(joined[:-1]) if len(ids) else np.empty(0, np.int64)
+                joined[np.cumsum([len(r) for r in rows if len(r)], dtype=np.int64) - 1] = False
+                left = np.flatnonzero(joined[:-1])
                 for i, j in ((ids[left], ids[left + 1]), (ids[left + 1], ids[left])):
                     for k in range(NONZERO):
                         total += np.bincount(i * DIM + places[j, k], signs[j, k], VOCABULARY * DIM)
