@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarn.operators import describe, relational, retrieval, rollup, windows
-from tarn.plans.registry import query, sql_query, table
+from tarn.operators import describe, ivf, relational, retrieval, rollup, windows
+from tarn.plans.registry import ORACLES, query, sql_query, table
+from tarn.workspace import Workspace
 
 
 @query("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
@@ -202,3 +203,10 @@ def hybrid_weighted(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     out = retrieval.hybrid_search(_candidates(spark, sf_dir), "doc_id", "text", "onion which ther", "embedding", _probe(spark, sf_dir), 20, "rrf")
     return out.select("doc_id", F.round("score", 8).alias("score"))
+
+
+@query("vector_ivf_all_lists", ORACLES["vector_topk"])
+def vector_ivf_all_lists(spark, sf_dir):
+    """With every list probed, the index is exact; the tests measure recall with fewer."""
+    index = ivf.IvfIndex.build(table(spark, sf_dir, "embeddings"), "embedding", Workspace(spark, "ivf").path("index"), 8)
+    return index.search(_probe(spark, sf_dir), 10, 8, ties="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))

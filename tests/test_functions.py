@@ -158,3 +158,16 @@ def test_hybrid_ties_and_missing_parts(spark):
     df = spark.createDataFrame([(1, "apple pie", [1.0, 0.0]), (2, "apple pie", [1.0, 0.0]), (3, None, [0.0, 1.0]), (4, "", None)], "id int, text string, v array<double>")
     got = retrieval.hybrid_search(df, "id", "text", "apple", "v", [1.0, 0.0], 4, "rrf").collect()
     assert [r.id for r in got] == [1, 2, 3, 4] and got[3].score == 0.0
+
+
+def test_ivf_recall(spark, tmp_path):
+    from tarn.operators import ivf
+
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    index = ivf.IvfIndex.build(df, "embedding", str(tmp_path / "ivf"), 8)
+    found = 0
+    queries = [[float(x) for x in r[0]] for r in df.where("vec_id % 50 = 0").select("embedding").collect()]
+    for q in queries:
+        exact = {r.vec_id for r in retrieval.vector_top_k(df, "embedding", q, 10).collect()}
+        found += len(exact & {r.vec_id for r in index.search(q, 10, 5).collect()})
+    assert found / (10 * len(queries)) >= 0.9
