@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,10 @@ class Workspace:
 
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of plans that have run."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first leaves free in Python, the second finds in the JVM
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def filesystem(spark: SparkSession, path: str):
