@@ -24,6 +24,8 @@ from tarn.llm.common import Workspace, ship
 
 #: Queries of one broadcast block; of 64 components they take 8 MB.
 QUERY_BLOCK = 16_384
+#: Query blocks that are planned as one job.
+PLANNED = 8
 #: Candidates whose scores are held at once.
 CANDIDATES = 16_384
 RESULT = "query_id bigint, vec_id bigint, score bigint"
@@ -113,7 +115,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    queries = Workspace(spark, "topk").table(vectors.where(is_query).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "queries")
+    ws = Workspace(spark, "topk")
+    queries = ws.table(vectors.where(is_query).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "queries")
     count = queries.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     parts = []
@@ -124,7 +127,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         column = part.column("v").combine_chunks()
         ids, row, term, weight = _ragged(part.column("vec_id").combine_chunks(), column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
         starts = np.searchsorted(row, np.arange(len(ids) + 1))
-        parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast((ids, starts, term, weight)), k), RESULT))
+        sent = spark.sparkContext.broadcast((ids, starts, term, weight))
+        parts.append(rows.mapInArrow(_search(sent, k), RESULT))
+        if blocks > PLANNED:  # many blocks run one after the other, and leave the driver again
+            parts[-1] = ws.table(parts[-1], "block")
+            sent.destroy()
     if not parts:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     found = parts[0]
