@@ -83,13 +83,14 @@ def mix(docs: DataFrame, max_copies: int = 3, weights: tuple[int, ...] = WEIGHTS
     passed = cells.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
     passed = ws.table(passed.select("source", F.col("m.cell").alias("edge"), F.col("m.before").alias("before")), "edges")
     ranked = ranked.alias("d").join(small(passed).alias("e"), same("d", "e"), "left").select("d.*", "edge", "before")
-    # the documents of those cells, one by one
+    # the documents of those cells, one by one; all others are decided by their cell
     order = Window.partitionBy("source").orderBy("rank", "size", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = ranked.where("cell = edge").select("source", "row", "rest", (F.col("before") + F.sum("size").over(order)).alias("sum"))
-    edge = ws.table(edge.where(F.col("sum") <= F.col("rest")), "edge-rows")
-    reached = edge.groupBy("source").agg(F.max("sum").alias("reached"))
-    marked = ranked.join(edge.select("row", F.lit(True).alias("at_edge")), "row", "left")
-    marked = marked.withColumn("sampled", F.coalesce(F.col("cell").isNotNull() & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")) | F.col("at_edge")), F.lit(False)))
+    upto = F.col("before") + F.sum("size").over(order)
+    edge = ws.table(ranked.where("cell = edge").withColumn("upto", upto).withColumn("sampled", F.col("upto") <= F.col("rest")), "edge-rows")
+    reached = edge.where("sampled").groupBy("source").agg(F.max("upto").alias("reached"))
+    at_edge = F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
+    others = ranked.where(~at_edge).withColumn("sampled", F.coalesce(F.col("cell").isNotNull() & (F.col("edge").isNull() | (F.col("cell") < F.col("edge"))), F.lit(False)))
+    marked = others.unionByName(edge.drop("upto"))
     # the one that closes the gap
     gaps = passed.alias("a").join(reached.alias("b"), same("a", "b"), "left").select("a.source", F.coalesce("reached", "before").alias("reached"))
     marked = marked.alias("d").join(small(ws.table(gaps, "gaps")).alias("g"), same("d", "g"), "left").select("d.*", "reached")
