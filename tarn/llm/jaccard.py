@@ -9,8 +9,11 @@ that subset and all of its one-deletion neighbours, which proves two. Empty subs
 segments prove too little; a pair is then found from its other set, or both index theirs.
 
 Pairs are not formed within a group that shares an index entry. First each member is compared with one hub of its group;
-what is verified is joined into components. Only members of one group that are still in different components are then
-compared with one another. Every comparison is exact, on 64-bit hashes of all shingles.
+what is verified is joined into components, and each member is also compared with the main hub around its nearest one. A comparison also gives what the member adds to its hub and what it lacks of
+it. As the difference of two members is that of what they add and of what they lack, similar members of one hub add, or
+lack, almost the same: they share one of the first few of these shingles, so that members still in different components are
+joined on those and on their hub, and pairs whose counts alone exceed the difference are left out. What remains is
+verified. Every comparison is exact, on 64-bit hashes of all shingles.
 
 Null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one. Null ids are
 allowed: they never are a component's smallest id unless it has no other. Repeated rows are one node. Only the id and text
@@ -20,17 +23,19 @@ columns are read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Workspace, ship, small
+from tarn.llm.common import Workspace, held, same_row, ship, small
 from tarn.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
+#: Index entries are grouped in so many passes, each over a share of the keys, so that a pass's shuffle files can go before the next.
+PASSES = 4
 #: Of the cost of an allocation: what a segment that two unlike sets share costs, and how likely one more shingle in common is.
 SHARED_COST, SHARED = 200.0, 0.35
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -38,9 +43,10 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit numbers, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _M2
+        x = (x ^ (x >> np.uint64(27))) * _M3
+        return x ^ (x >> np.uint64(31))
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -168,25 +174,86 @@ def _sets(shingle: int):
     return run
 
 
-def _verify(percent: int):
+def _compare(percent: int):
+    """(a, b, sets of both) to what b adds to a and lacks of it, and whether they are similar.
+
+    first_added and first_lacking hold the smallest hashes, as many as it takes: of two members whose differences from the hub
+    differ in at most H elements, either add one of the first H + 1 in common, or both add few; then what they lack differs
+    in at most H less what they add.
+    """
+    bands = Bands(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+        for batch in batches:
+            rows = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(t, s)
-                common = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                in_s = _within(t, s)
+                common = int(in_s.sum())
+                added, lacking = len(t) - common, len(s) - common
+                most = bands.differences(len(t), bands.largest(len(t)))
+                first = t[~in_s][: most + 1]
+                second = s[~_within(s, t)][: most - added + 1] if added <= most else s[:0]
+                rows.append((a, b, len(t), added, lacking, 100 * common >= percent * (len(s) + len(t) - common), first.view(np.int64), second.view(np.int64)))
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=["a", "b", "n", "added", "lacking", "similar", "first_added", "first_lacking"])
 
     return run
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold. Sets travel to their pairs; one side's are joined where pairs are sorted by it."""
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of x are in y; both are sorted."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes, compared. Sets travel to their pairs; a's are joined where pairs are sorted by it."""
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    return two.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a bigint, b bigint")
+    out = "a bigint, b bigint, n bigint, added bigint, lacking bigint, similar boolean, first_added array<bigint>, first_lacking array<bigint>"
+    return two.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), out)
+
+
+def homes(tried: DataFrame, labels: DataFrame) -> DataFrame:
+    """b and home: for each node that was compared, the main hub of the component of its nearest hub.
+
+    A component's main hub is the one that most of its nodes were compared with. Nodes around one main hub then have it in
+    common, whichever hubs they were compared with first; a hub counts as compared with itself.
+    """
+    hubs = tried.groupBy("a").agg(F.count("*").alias("size"))
+    own = hubs.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    main = own.groupBy("label").agg(F.max(F.struct("size", "a")).alias("m")).select("label", F.col("m.a").alias("home"))
+    to_main = own.join(main, "label").select("a", "home")
+    rows = tried.select("a", "b", (F.col("added") + F.col("lacking")).alias("far")).unionAll(hubs.select("a", F.col("a"), F.lit(0).cast("long")))
+    nearest = rows.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
+    return nearest.join(to_main, "a").select("b", "home")
+
+
+def still_apart(tried: DataFrame, home: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one hub and of different components that can be similar; see the module's account.
+
+    Nodes with one home are joined under that hub only.
+    """
+    label = labels.select(F.col("node").alias("b"), "label")
+    hub_label = labels.select(F.col("node").alias("a"), F.col("label").alias("hub_label"))
+    rows = tried.join(label, "b", "left").join(hub_label, "a", "left").join(home, "b", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "b")).withColumn("hub_label", F.coalesce("hub_label", "a"))
+    rows = rows.withColumn("left", F.col("label") != F.col("hub_label"))
+    hubs = rows.groupBy("a").agg(F.max("left").alias("any"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("any AND l0 < l1 AND (h0 < h1 OR h0 = a)").select("a")
+    parts = F.concat(F.transform("first_added", lambda x: F.struct(F.lit(True).alias("plus"), x.alias("el"))), F.transform("first_lacking", lambda x: F.struct(F.lit(False).alias("plus"), x.alias("el"))))
+    entries = rows.join(hubs, "a", "left_semi").select("a", "b", "n", "added", "lacking", "label", "left", "home", F.explode(parts).alias("e")).select("*", "e.plus", "e.el").drop("e")
+    # shingles that nodes of one label, or of one other home, have to themselves lead nowhere
+    mixed_labels = entries.groupBy("a", "el", "plus").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("l0 < l1 AND (h0 < h1 OR h0 = a)").select("a", "el", "plus")
+    entries = entries.join(mixed_labels, ["a", "el", "plus"])
+    x, y = entries.where("left").alias("x"), entries.alias("y")
+    most = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    least = F.when(F.col("x.plus"), F.abs(F.col("x.added") - F.col("y.added"))).otherwise(F.col("x.added") + F.col("y.added")) + F.abs(F.col("x.lacking") - F.col("y.lacking"))
+    once = ~F.col("y.left") | (F.col("x.b") < F.col("y.b"))
+    here = (F.col("x.home") != F.col("y.home")) | (F.col("x.home") == F.col("x.a"))
+    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.el") == F.col("y.el")) & (F.col("x.plus") == F.col("y.plus")) & (F.col("x.label") != F.col("y.label")) & once & here & (least <= most)
+    return x.join(y, on).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -196,13 +263,24 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ws = Workspace(spark, "jaccard")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = ws.table(keyed.mapInArrow(_index(shingle, percent), f"doc_id {kind}, text_key bigint, n bigint, node bigint, node2 bigint, keys array<bigint>"), "rows")
-    entries = rows.select("node", "n", F.explode("keys").alias("key"))
-    groups = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
-    groups = ws.table(groups, "groups")
-    ws.sweep()
-    members = ws.table(entries.join(small(groups), "key").select("key", "hub", "node", "n").distinct(), "members")
-    ws.drop(groups)
+    rows = ws.table(keyed.mapInArrow(_index(shingle, percent), f"doc_id {kind}, text_key bigint, n bigint, node bigint, node2 bigint, keys array<bigint>"), "indexed")
+    indexed, rows = rows, ws.table(rows.drop("keys"), "rows")
+    entries = indexed.select("node", F.explode("keys").alias("key"))
+    parts = []
+    for i in range(PASSES):
+        some = entries.where(F.pmod("key", F.lit(PASSES)) == i)
+        groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
+        parts.append(ws.table(some.join(groups, "key").distinct(), "entries"))
+        ws.drop(groups)
+        ws.sweep()
+    shared = reduce(DataFrame.unionAll, parts)
+    # the hub of a group is the member with most entries that others have as well
+    weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
+    shared = shared.join(weight, "node")
+    hub = shared.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("hub"))
+    members = ws.table(shared.join(hub, "key").select("hub", "node").distinct(), "members")
+    for p in (indexed, *parts):
+        ws.drop(p)
     ws.sweep()
     # the sets of members, from one row each
     first = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("tk"))
@@ -211,22 +289,28 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     sets = ws.table(texts.mapInArrow(_sets(shingle), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
     ws.sweep()
     # hubs
-    tried = ws.table(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs")
-    links = ws.table(similar(tried, sets, percent), "links")
+    tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tried = ws.table(compared(tried, sets, percent), "hub-pairs")
+    ws.drop(members)
+    ws.sweep()
+    ws.sweep()
+    labels = components(ws, tried.where("similar").select("a", "b"))
+    home = ws.table(homes(tried, labels), "homes")
+    near = home.select(F.col("home").alias("a"), "b").where("a <> b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = tried.unionAll(ws.table(compared(ws.table(near, "home-pairs"), sets, percent), "homes-compared"))
+    links = tried.where("similar").select("a", "b")
     labels = components(ws, links)
+    ws.sweep()
     # what is still apart
-    known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    apart = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    known = ws.table(known.join(apart, "key"), "apart")
-    x, y = known.alias("x"), known.alias("y")
-    close = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = ws.table(similar(ws.table(rest, "rest-pairs"), sets, percent), "more-links")
-    links = links.unionAll(more)
-    if not more.isEmpty():
-        labels = components(ws, links)
+    rest = ws.table(still_apart(tried, home, labels, percent), "rest-pairs")
+    ws.sweep()
+    if not rest.isEmpty():
+        more = ws.table(compared(rest, sets, percent).where("similar").select("a", "b"), "more-links")
+        if not more.isEmpty():
+            links = links.unionAll(more).distinct()
+            labels = components(ws, links)
     ws.drop(sets)
+    ws.sweep()
     # a node without links is a component by both of its numbers
     named = rows.select("doc_id", "text_key", "n", "node", "node2").join(labels, "node", "left")
     return named.select("doc_id", "text_key", "n", "node", F.coalesce("label", "node").alias("group"), F.when(F.col("label").isNull(), F.col("node2")).otherwise(F.lit(0)).alias("group2")), links
@@ -253,12 +337,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     named = ws.table(named.where("n > 0").select("doc_id", "text_key", "group", "group2", order.alias("o")), "named")
     stay = named.groupBy("group", "group2").agg(F.min("o").alias("stay"), F.count("*").alias("rows")).where("rows > 1")
     multiple = ws.table(named.join(stay, ["group", "group2"]).select("doc_id", "text_key", (F.col("o") == F.col("stay")).alias("stays")), "multiple")
-    go = multiple.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("tk")).agg(F.max("stays").alias("stays"), F.count("*").alias("times"))
-    go = ws.table(go, "go")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    out = keyed.join(small(ws.table(go.where("NOT stays OR times > 1"), "out")), same, "left_anti")
+    go = ws.table(multiple.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "go")
+    rows = held(docs).alias("r")
+    out = rows.join(small(ws.table(go.where("NOT stays OR times > 1"), "out")).alias("g"), same_row("r", "g"), "left_anti")
     again = ws.table(go.where("stays AND times > 1"), "again")
     if not again.isEmpty():
-        out = out.unionByName(keyed.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
-    return out.select(*docs.columns)
+        out = out.unionAll(rows.join(small(again).alias("g"), same_row("r", "g"), "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select("row.*")
