@@ -35,7 +35,7 @@ from tarn.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Index entries are grouped in so many passes, each over a share of the keys, so that a pass's shuffle files can go before the next.
-PASSES = 4
+PASSES = 8
 #: Of the cost of an allocation: what a segment that two unlike sets share costs, and how likely one more shingle in common is.
 SHARED_COST, SHARED = 200.0, 0.35
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -208,14 +208,24 @@ def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, sets_of_b: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes, compared. Sets travel to their pairs; a's are joined where pairs are sorted by it."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    one = pairs.join(sets_of_b.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     out = "a bigint, b bigint, n bigint, added bigint, lacking bigint, similar boolean, first_added array<bigint>, first_lacking array<bigint>"
     return two.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), out)
 
 
+def compared_in_passes(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """compared() as a written table; each pass takes the pairs of a share of b's, and their sets alone."""
+    parts = []
+    for i in range(PASSES // 2):
+        some = F.pmod("node", F.lit(PASSES // 2)) == i
+        parts.append(ws.table(compared(pairs.where(F.pmod("b", F.lit(PASSES // 2)) == i), sets, sets.where(some), percent), "compared"))
+        ws.sweep()
+    return reduce(DataFrame.unionAll, parts)
+
+
 def homes(tried: DataFrame, labels: DataFrame) -> DataFrame:
     """b and home: for each node that was compared, the main hub of the component of its nearest hub.
 
@@ -290,14 +300,14 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ws.sweep()
     # hubs
     tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = ws.table(compared(tried, sets, percent), "hub-pairs")
+    tried = compared_in_passes(ws, ws.table(tried, "hub-pairs"), sets, percent)
     ws.drop(members)
     ws.sweep()
     ws.sweep()
     labels = components(ws, tried.where("similar").select("a", "b"))
     home = ws.table(homes(tried, labels), "homes")
     near = home.select(F.col("home").alias("a"), "b").where("a <> b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = tried.unionAll(ws.table(compared(ws.table(near, "home-pairs"), sets, percent), "homes-compared"))
+    tried = tried.unionAll(compared_in_passes(ws, ws.table(near, "home-pairs"), sets, percent))
     links = tried.where("similar").select("a", "b")
     labels = components(ws, links)
     ws.sweep()
@@ -305,7 +315,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     rest = ws.table(still_apart(tried, home, labels, percent), "rest-pairs")
     ws.sweep()
     if not rest.isEmpty():
-        more = ws.table(compared(rest, sets, percent).where("similar").select("a", "b"), "more-links")
+        more = compared_in_passes(ws, rest, sets, percent).where("similar").select("a", "b")
         if not more.isEmpty():
             links = links.unionAll(more).distinct()
             labels = components(ws, links)
@@ -321,6 +331,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     named, links = jaccard_groups(docs, shingle, percent)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     least = named.where("n > 0").groupBy("group", "group2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    least = small(Workspace(docs.sparkSession, "least").table(least, "least"))
     out = named.join(least, ["group", "group2"], "left").join(degree, "node", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links"))
@@ -336,7 +347,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     named = ws.table(named.where("n > 0").select("doc_id", "text_key", "group", "group2", order.alias("o")), "named")
     stay = named.groupBy("group", "group2").agg(F.min("o").alias("stay"), F.count("*").alias("rows")).where("rows > 1")
-    multiple = ws.table(named.join(stay, ["group", "group2"]).select("doc_id", "text_key", (F.col("o") == F.col("stay")).alias("stays")), "multiple")
+    multiple = ws.table(named.join(small(ws.table(stay, "stay")), ["group", "group2"]).select("doc_id", "text_key", (F.col("o") == F.col("stay")).alias("stays")), "multiple")
     go = ws.table(multiple.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "go")
     rows = held(docs).alias("r")
     out = rows.join(small(ws.table(go.where("NOT stays OR times > 1"), "out")).alias("g"), same_row("r", "g"), "left_anti")
