@@ -9,15 +9,21 @@ from tarn.plans.registry import sql_query
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
+
+def exact(expression: str, scale: int = 4) -> str:
+    """The sum of an expression that has so many decimals, as a decimal: the same in whatever order rows are added."""
+    return f"CAST(sum(CAST(round({expression}, {scale}) AS DECIMAL(24, {scale}))) AS DOUBLE)"
+
+
 sql_query("tpch_q1", f"""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum({REVENUE}), 2) AS sum_disc_price, round(sum({REVENUE} * (1 + l_tax)), 2) AS sum_charge,
+       {exact(REVENUE)} AS sum_disc_price, {exact(REVENUE + ' * (1 + l_tax)', 6)} AS sum_charge,
        round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM {{lineitem}} WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus
 """, tables="lineitem")
 
 sql_query("tpch_q3", f"""
-SELECT l_orderkey, round(sum({REVENUE}), 2) AS revenue, o_orderdate
+SELECT l_orderkey, {exact(REVENUE)} AS revenue, o_orderdate
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15'
 GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC NULLS FIRST, o_orderdate, l_orderkey LIMIT 10
@@ -30,7 +36,7 @@ GROUP BY o_orderpriority ORDER BY o_orderpriority
 """, tables="orders lineitem")
 
 sql_query("tpch_q5", f"""
-SELECT n_name, round(sum({REVENUE}), 2) AS revenue
+SELECT n_name, {exact(REVENUE)} AS revenue
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{supplier}} ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
      JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1995-01-01'
@@ -38,7 +44,7 @@ GROUP BY n_name ORDER BY revenue DESC
 """, tables="customer orders lineitem supplier nation region")
 
 sql_query("tpch_q6", """
-SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem}
+SELECT CAST(sum(CAST(round(l_extendedprice * l_discount, 4) AS DECIMAL(24, 4))) AS DOUBLE) AS revenue FROM {lineitem}
 WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.045 AND 0.075 AND l_quantity < 24
 """, tables="lineitem")
 
@@ -48,7 +54,7 @@ WITH shipping AS (
   FROM {{supplier}} JOIN {{lineitem}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{customer}} ON c_custkey = o_custkey
        JOIN {{nation}} n1 ON s_nationkey = n1.n_nationkey JOIN {{nation}} n2 ON c_nationkey = n2.n_nationkey
   WHERE n1.n_regionkey = 1 AND n2.n_regionkey = 2 AND l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')
-SELECT supp_nation, cust_nation, CAST(l_year AS INT) AS l_year, round(sum(volume), 2) AS revenue FROM shipping GROUP BY supp_nation, cust_nation, l_year
+SELECT supp_nation, cust_nation, CAST(l_year AS INT) AS l_year, {exact('volume')} AS revenue FROM shipping GROUP BY supp_nation, cust_nation, l_year
 """, tables="supplier lineitem orders customer nation")
 
 sql_query("tpch_q8", f"""
@@ -62,13 +68,13 @@ SELECT CAST(o_year AS INT) AS o_year, round(sum(CASE WHEN nation < 'J' THEN volu
 """, tables="part lineitem supplier orders customer nation region")
 
 sql_query("tpch_q9", f"""
-SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, round(sum({REVENUE} - 0.1 * p_retailprice * l_quantity), 2) AS sum_profit
+SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, {exact(REVENUE + ' - 0.1 * p_retailprice * l_quantity')} AS sum_profit
 FROM {{part}} JOIN {{lineitem}} ON p_partkey = l_partkey JOIN {{supplier}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{nation}} ON s_nationkey = n_nationkey
 WHERE p_brand LIKE '%1%' GROUP BY n_name, year(o_orderdate)
 """, tables="part lineitem supplier orders nation")
 
 sql_query("tpch_q10", f"""
-SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name
+SELECT c_custkey, c_name, {exact(REVENUE)} AS revenue, c_acctbal, n_name
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{nation}} ON c_nationkey = n_nationkey
 WHERE o_orderdate >= DATE '1993-10-01' AND o_orderdate < DATE '1994-04-01' AND l_returnflag = 'R'
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20
@@ -89,7 +95,7 @@ FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_shipdate >= DAT
 """, tables="lineitem part")
 
 sql_query("tpch_q15", f"""
-WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum({REVENUE}), 2) AS total_revenue FROM {{lineitem}} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
+WITH revenue AS (SELECT l_suppkey AS supplier_no, {exact(REVENUE)} AS total_revenue FROM {{lineitem}} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, total_revenue FROM {{supplier}} JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)
 """, tables="lineitem supplier")
 
@@ -106,7 +112,7 @@ GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_tot
 """, tables="customer orders lineitem")
 
 sql_query("tpch_q19", f"""
-SELECT round(sum({REVENUE}), 2) AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
+SELECT {exact(REVENUE)} AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
 WHERE (p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 6 AND 10 AND l_quantity BETWEEN 10 AND 20) OR (p_size BETWEEN 11 AND 15 AND l_quantity BETWEEN 20 AND 30)
 """, tables="lineitem part")
 
