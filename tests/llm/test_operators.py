@@ -441,6 +441,23 @@ def test_simhash_is_a_majority(spark):
         assert got[r.doc_id] == want
 
 
+def test_line_dedup_recall_by_edit_similarity_alone(spark):
+    """Lines of the usual length with one word changed, added or taken out, against edit similarity without any other filter."""
+    rng = random.Random(31)
+    pairs = []
+    while len(pairs) < 300:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 45))]
+        at = rng.randrange(len(words))
+        other = words[:at] + rng.choice([[f"v{rng.randrange(3000)}"], [], [words[at], f"v{rng.randrange(3000)}"]]) + words[at + 1 :]
+        a, b = " ".join(words), " ".join(other)
+        if levenshtein(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
+            pairs.append((a, b))
+    rows = [(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p)]
+    got = {r.doc_id for r in lines.occurrences_to_drop(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= {2 * i + 1 for i in range(len(pairs))}
+    assert len(got) >= 0.9 * len(pairs)
+
+
 def test_clean_keeps_first_lines(spark, odd):
     df = spark.createDataFrame([(1, "Hello there\n\nunique one\nhello, THERE!"), (2, "hello there"), (3, None)], "doc_id bigint, text string").withColumn("dropped", F.lit("clash")).withColumn("id", F.lit(0))
     got = lines.clean(df.drop("dropped"))
