@@ -91,6 +91,7 @@ sql_query("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey L
 sql_query("sort_hidden_key", "SELECT upper(p_name) AS n FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 12", tables="part")
 for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     sql_query(f"setop_{_name}", f"SELECT o_custkey % 50 AS k FROM {{orders}} WHERE o_orderkey < 800 {_op} SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 60 END FROM {{customer}}", tables="orders customer")
+    sql_query(f"setop_{_name}_whole", f"SELECT o_custkey % 50 AS k FROM {{orders}} {_op} SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 60 END FROM {{customer}}", tables="orders customer")
 sql_query("setop_precedence", "SELECT 1 AS x UNION SELECT 2 INTERSECT SELECT 2 EXCEPT SELECT 1")
 sql_query("setop_null_equality", "SELECT CAST(NULL AS INT) AS x INTERSECT SELECT CAST(NULL AS INT)")
 
