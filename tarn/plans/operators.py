@@ -92,6 +92,11 @@ def unnest(spark, sf_dir):
     return relational.unnest(table(spark, sf_dir, "embeddings"), F.slice("embedding", 1, 5), "x").select("vec_id", "x")
 
 
+@query("unnest_whole", "SELECT vec_id, unnest(embedding)::FLOAT AS x FROM embeddings")
+def unnest_whole(spark, sf_dir):
+    return relational.unnest(table(spark, sf_dir, "embeddings"), F.col("embedding"), "x").select("vec_id", "x")
+
+
 @query("json_each", "SELECT event_id, j.key, j.value::VARCHAR AS value FROM events, json_each(props) j")
 def json_each(spark, sf_dir):
     return relational.json_each(table(spark, sf_dir, "events"), "props").select("event_id", "key", "value")

@@ -8,3 +8,8 @@ SF = "/root/testdata/sf0.001"
 def test_setop_union_all_has_all_rows(spark):
     n = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "customer"))
     assert plans.QUERIES["setop_union_all_whole"](spark, SF).count() == n
+
+
+def test_unnest_has_all_components(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    assert plans.QUERIES["unnest_whole"](spark, SF).count() == n
