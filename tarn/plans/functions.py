@@ -130,6 +130,13 @@ def age(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") <= 28).select("o_orderkey", a["months"].cast("long").alias("months"), a["days"].cast("long").alias("days"))
 
 
+@query("fn_age_all_days", """
+SELECT o_orderkey, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '1999-03-31 00:00:00', o_orderdate) AS a FROM orders)""")
+def age_all_days(spark, sf_dir):
+    a = temporal.age(F.lit("1999-03-31").cast("timestamp"), F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", a["months"].cast("long").alias("months"), a["days"].cast("long").alias("days"))
+
+
 @query("fn_time_zone", "SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M:%S') AS tokyo FROM events")
 def time_zone(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(temporal.at_time_zone(F.col("ts"), "Asia/Tokyo"), "yyyy-MM-dd HH:mm:ss").alias("tokyo"))

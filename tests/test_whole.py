@@ -13,3 +13,7 @@ def test_setop_union_all_has_all_rows(spark):
 def test_unnest_has_all_components(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
     assert plans.QUERIES["unnest_whole"](spark, SF).count() == n
+
+
+def test_age_has_all_orders(spark):
+    assert plans.QUERIES["fn_age_all_days"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
