@@ -210,6 +210,14 @@ def hybrid_rrf(spark, sf_dir):
     return out.select("doc_id", F.round("score", 8).alias("score"))
 
 
+WHOLE = BM25.replace(" WHERE lang = 'en'", "")
+
+
+@query("bm25_whole", f"WITH {WHOLE} SELECT doc_id, round(bm25, 6) AS bm25 FROM b WHERE bm25 > 0")
+def bm25_whole(spark, sf_dir):
+    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "Onion which ther").select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
 @query("vector_ivf_all_lists", ORACLES["vector_topk"])
 def vector_ivf_all_lists(spark, sf_dir):
     """With every list probed, the index is exact; the tests measure recall with fewer."""

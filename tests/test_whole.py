@@ -17,3 +17,8 @@ def test_unnest_has_all_components(spark):
 
 def test_age_has_all_orders(spark):
     assert plans.QUERIES["fn_age_all_days"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_bm25_scores_other_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(r"lower(text) RLIKE '(?<![a-z0-9])(onion|which|ther)(?![a-z0-9])'")
+    assert {r.doc_id for r in plans.QUERIES["bm25_whole"](spark, SF).collect()} == {r.doc_id for r in docs.collect()}
