@@ -85,6 +85,7 @@ sql_query("window_whole_partition", "SELECT o_orderkey, round(o_totalprice / sum
 
 # Sorts, limits, set operations -----------------------------------------------------------------------------------------
 sql_query("sort_null_order", "SELECT k FROM (SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM {orders}) ORDER BY k ASC NULLS LAST, o_orderkey LIMIT 2000", tables="orders")
+sql_query("sort_null_order_whole", "SELECT k FROM (SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM {orders}) ORDER BY k ASC NULLS LAST, o_orderkey", tables="orders")
 sql_query("sort_desc_nulls_first", "SELECT k, o_orderkey FROM (SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM {orders}) ORDER BY k DESC NULLS FIRST, o_orderkey LIMIT 25", tables="orders")
 sql_query("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 15", tables="lineitem")
 sql_query("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 20 OFFSET 30", tables="orders")

@@ -22,3 +22,9 @@ def test_age_has_all_orders(spark):
 def test_bm25_scores_other_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(r"lower(text) RLIKE '(?<![a-z0-9])(onion|which|ther)(?![a-z0-9])'")
     assert {r.doc_id for r in plans.QUERIES["bm25_whole"](spark, SF).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_sort_null_order_ends_with_nulls(spark):
+    keys = [r.k for r in plans.QUERIES["sort_null_order_whole"](spark, "/root/testdata/sf0.01").collect()]
+    n = sum(k is not None for k in keys)
+    assert len(keys) > 2000 and n < len(keys) and keys[:n] == sorted(k for k in keys if k is not None)
