@@ -251,3 +251,8 @@ def ranges(spark, sf_dir):
 @query("fn_misc", "SELECT s_suppkey, CASE WHEN s_suppkey * 1000 >= 10240 THEN round(s_suppkey * 1000 / 1024.0)::BIGINT || ' kB' ELSE s_suppkey * 1000 || ' bytes' END AS z, 36 AS u FROM supplier WHERE s_suppkey < 10000")
 def misc(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where("s_suppkey < 10000").select("s_suppkey", scalar.size_pretty(F.col("s_suppkey") * 1000).alias("z"), F.length(F.expr("uuid()")).alias("u"))
+
+
+@query("fn_misc_whole", "SELECT s_suppkey, CASE WHEN n >= 10 * 1024.0 ** 3 THEN round(n / 1024.0 ** 3)::BIGINT || ' GB' WHEN n >= 10 * 1024.0 ** 2 THEN round(n / 1024.0 ** 2)::BIGINT || ' MB' WHEN n >= 10240 THEN round(n / 1024.0)::BIGINT || ' kB' ELSE n || ' bytes' END AS z, 36 AS u FROM (SELECT s_suppkey, s_suppkey * 1000 AS n FROM supplier) q")
+def misc_whole(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.size_pretty(F.col("s_suppkey") * 1000).alias("z"), F.length(F.expr("uuid()")).alias("u"))

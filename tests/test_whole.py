@@ -28,3 +28,9 @@ def test_sort_null_order_ends_with_nulls(spark):
     keys = [r.k for r in plans.QUERIES["sort_null_order_whole"](spark, "/root/testdata/sf0.01").collect()]
     n = sum(k is not None for k in keys)
     assert len(keys) > 2000 and n < len(keys) and keys[:n] == sorted(k for k in keys if k is not None)
+
+
+def test_misc_has_suppliers_from_10000_on(spark, tmp_path):
+    spark.createDataFrame([(9,), (10_000,), (20_000,), (20_000_000,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.s_suppkey: r.z for r in plans.QUERIES["fn_misc_whole"](spark, str(tmp_path)).collect()}
+    assert got == {9: "9000 bytes", 10_000: "9766 kB", 20_000: "19 MB", 20_000_000: "19 GB"}
