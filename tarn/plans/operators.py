@@ -218,6 +218,26 @@ def bm25_whole(spark, sf_dir):
     return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "Onion which ther").select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+def _all_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id", "left").where("embedding IS NOT NULL")
+
+
+WHOLE_HYBRID = HYBRID.replace("lang = 'en' AND ", "")
+
+
+@query("hybrid_weighted_whole", f"WITH {WHOLE_HYBRID} SELECT doc_id, round(bm25 + similarity, 6) AS score FROM h ORDER BY bm25 + similarity DESC, doc_id LIMIT 20")
+def hybrid_weighted_whole(spark, sf_dir):
+    out = retrieval.hybrid_search(_all_candidates(spark, sf_dir), "doc_id", "text", "onion which ther", "embedding", _probe(spark, sf_dir), 20)
+    return out.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_rrf_whole", f"WITH {WHOLE_HYBRID}, r AS (SELECT doc_id, CASE WHEN bm25 > 0 THEN 1.0 / (60 + row_number() OVER (ORDER BY CASE WHEN bm25 > 0 THEN bm25 END DESC NULLS LAST, doc_id)) ELSE 0 END + 1.0 / (60 + row_number() OVER (ORDER BY similarity DESC, doc_id)) AS score FROM h) SELECT doc_id, round(score, 8) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20")
+def hybrid_rrf_whole(spark, sf_dir):
+    out = retrieval.hybrid_search(_all_candidates(spark, sf_dir), "doc_id", "text", "onion which ther", "embedding", _probe(spark, sf_dir), 20, "rrf")
+    return out.select("doc_id", F.round("score", 8).alias("score"))
+
+
 @query("vector_ivf_all_lists", ORACLES["vector_topk"])
 def vector_ivf_all_lists(spark, sf_dir):
     """With every list probed, the index is exact; the tests measure recall with fewer."""

@@ -34,3 +34,10 @@ def test_misc_has_suppliers_from_10000_on(spark, tmp_path):
     spark.createDataFrame([(9,), (10_000,), (20_000,), (20_000_000,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r.s_suppkey: r.z for r in plans.QUERIES["fn_misc_whole"](spark, str(tmp_path)).collect()}
     assert got == {9: "9000 bytes", 10_000: "9766 kB", 20_000: "19 MB", 20_000_000: "19 GB"}
+
+
+def test_hybrid_search_takes_other_languages(spark):
+    from tarn.plans import operators
+
+    both = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS doc_id"), "doc_id")
+    assert operators._all_candidates(spark, SF).count() == both.count() > both.where("lang = 'en'").count()
