@@ -8,12 +8,16 @@ cost: a segment may be indexed by its subset of the set alone, which proves one
 that subset and all of its one-deletion neighbours, which proves two. Empty subsets are not indexed, unless a set's other
 segments prove too little; a pair is then found from its other set, or both index theirs.
 
-Pairs are not formed within a group that shares an index entry. First each member is compared with one hub of its group;
-what is verified is joined into components, and each member is also compared with the main hub around its nearest one. A comparison also gives what the member adds to its hub and what it lacks of
-it. As the difference of two members is that of what they add and of what they lack, similar members of one hub add, or
-lack, almost the same: they share one of the first few of these shingles, so that members still in different components are
-joined on those and on their hub, and pairs whose counts alone exceed the difference are left out. What remains is
-verified. Every comparison is exact, on 64-bit hashes of all shingles.
+Pairs are not formed within a group that shares an index entry; each group has a hub, its member with most entries that others
+have as well. First each node is compared with one hub, the heaviest of its groups', and what is verified is joined into
+components. Only the groups whose members are then in different components go on: all members of such a group are compared
+with its hub, which also gives what they add to it and lack of it, and components are joined again. For what is still
+apart, let D be the signed set of a member's additions and lacks. Two members differ in as many elements as their D's do, and
+similar members of different components have at least one element of D in common (were there none, both would be similar to
+their hub). So members of a hub are joined on the elements of D, in an order by rarity within the hub, by the prefix filter
+with positions: at the first element in common, what precedes it on both sides and the difference of what remains are
+differences of the two sets. Elements that only one component has come first of all; they lead nowhere, but count as
+positions. What remains is verified. Every comparison is exact, on 64-bit hashes of all shingles.
 
 Null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one. Null ids are
 allowed: they never are a component's smallest id unless it has no other. Repeated rows are one node. Only the id and text
@@ -35,7 +39,7 @@ from tarn.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Index entries are grouped in so many passes, each over a share of the keys, so that a pass's shuffle files can go before the next.
-PASSES = 8
+PASSES = 4
 #: Of the cost of an allocation: what a segment that two unlike sets share costs, and how likely one more shingle in common is.
 SHARED_COST, SHARED = 200.0, 0.35
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -144,7 +148,7 @@ def _node(s: np.ndarray) -> tuple[int, int]:
 
 def _index(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, seen = Bands(percent), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
@@ -153,7 +157,8 @@ def _index(shingle: int, percent: int):
                     s = shingle_set(t.as_py(), shingle)
                     n.append(len(s))
                     names.append(_node(s))
-                    keys.append(bands.keys(s) if len(s) else s)
+                    keys.append(s[:0] if names[-1] in seen or not len(s) else bands.keys(s))  # a task indexes a set once
+                    seen.add(names[-1])
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -174,29 +179,21 @@ def _sets(shingle: int):
     return run
 
 
-def _compare(percent: int):
-    """(a, b, sets of both) to what b adds to a and lacks of it, and whether they are similar.
-
-    first_added and first_lacking hold the smallest hashes, as many as it takes: of two members whose differences from the hub
-    differ in at most H elements, either add one of the first H + 1 in common, or both add few; then what they lack differs
-    in at most H less what they add.
-    """
-    bands = Bands(percent)
+def _compare(percent: int, differences: bool):
+    """(a, b, sets of both) to whether they are similar and, if asked for, b's size and what it adds to a and lacks of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 in_s = _within(t, s)
                 common = int(in_s.sum())
-                added, lacking = len(t) - common, len(s) - common
-                most = bands.differences(len(t), bands.largest(len(t)))
-                first = t[~in_s][: most + 1]
-                second = s[~_within(s, t)][: most - added + 1] if added <= most else s[:0]
-                rows.append((a, b, len(t), added, lacking, 100 * common >= percent * (len(s) + len(t) - common), first.view(np.int64), second.view(np.int64)))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=["a", "b", "n", "added", "lacking", "similar", "first_added", "first_lacking"])
+                similar = 100 * common >= percent * (len(s) + len(t) - common)
+                rows.append((similar, len(t), t[~in_s].view(np.int64), s[~_within(s, t)].view(np.int64)) if differences else (similar,))
+            kinds = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())][: 4 if differences else 1]
+            found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["a", "b", "similar", "n", "adds", "lacks"][: 2 + len(kinds)])
 
     return run
 
@@ -208,62 +205,97 @@ def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def compared(pairs: DataFrame, sets: DataFrame, sets_of_b: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes, compared. Sets travel to their pairs; a's are joined where pairs are sorted by it."""
-    one = pairs.join(sets_of_b.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    out = "a bigint, b bigint, n bigint, added bigint, lacking bigint, similar boolean, first_added array<bigint>, first_lacking array<bigint>"
-    return two.select("a", "b", "sa", "sb").mapInArrow(_compare(percent), out)
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) of nodes, a written table, compared. b's sets meet the pairs first, then travel to a's."""
+    a_only = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
+    out = "a bigint, b bigint, similar boolean" + (", n bigint, adds array<bigint>, lacks array<bigint>" if differences else "")
+    return one.join(a_only, "a").select("a", "b", "sa", "sb").mapInArrow(_compare(percent, differences), out)
 
 
-def compared_in_passes(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """compared() as a written table; each pass takes the pairs of a share of b's, and their sets alone."""
+def shared_entries(ws: Workspace, indexed: DataFrame) -> DataFrame:
+    """key and node of the index entries that more than one node has."""
+    entries = indexed.select("node", F.explode("keys").alias("key"))
     parts = []
-    for i in range(PASSES // 2):
-        some = F.pmod("node", F.lit(PASSES // 2)) == i
-        parts.append(ws.table(compared(pairs.where(F.pmod("b", F.lit(PASSES // 2)) == i), sets, sets.where(some), percent), "compared"))
+    for i in range(PASSES):
+        some = entries.where(F.pmod("key", F.lit(PASSES)) == i)
+        groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
+        parts.append(ws.table(some.join(groups, "key").distinct(), "entries"))
+        ws.drop(groups)
         ws.sweep()
     return reduce(DataFrame.unionAll, parts)
 
 
-def homes(tried: DataFrame, labels: DataFrame) -> DataFrame:
-    """b and home: for each node that was compared, the main hub of the component of its nearest hub.
+def with_hubs(shared: DataFrame) -> DataFrame:
+    """key, node, hub and the hub's weight; a group's hub is the member with most entries that others have as well."""
+    weighted = shared.join(shared.groupBy("node").agg(F.count("*").alias("weight")), "node")
+    hub = weighted.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m"))
+    return shared.join(hub.select("key", F.col("m.node").alias("hub"), F.col("m.weight").alias("weight")), "key")
 
-    A component's main hub is the one that most of its nodes were compared with. Nodes around one main hub then have it in
-    common, whichever hubs they were compared with first; a hub counts as compared with itself.
-    """
-    hubs = tried.groupBy("a").agg(F.count("*").alias("size"))
-    own = hubs.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    main = own.groupBy("label").agg(F.max(F.struct("size", "a")).alias("m")).select("label", F.col("m.a").alias("home"))
-    to_main = own.join(main, "label").select("a", "home")
-    rows = tried.select("a", "b", (F.col("added") + F.col("lacking")).alias("far")).unionAll(hubs.select("a", F.col("a"), F.lit(0).cast("long")))
-    nearest = rows.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
-    return nearest.join(to_main, "a").select("b", "home")
+
+def node_sets(ws: Workspace, keyed: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and shingles of the nodes, each from one row of the documents."""
+    places = rows.join(nodes, "node", "left_semi").groupBy("node", "doc_id", "text_key").agg(F.count("*").alias("times"))
+    first = ws.table(places.groupBy("node").agg(F.min(F.struct("times", "doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("tk"), "r.times"), "first")
+    texts = keyed.join(small(first), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(shingle), "node bigint, shingles binary")
+    # only a node all of whose rows are repeated has more than one row here
+    return ws.table(sets if first.where("times > 1").isEmpty() else sets.dropDuplicates(["node"]), "sets")
 
 
-def still_apart(tried: DataFrame, home: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one hub and of different components that can be similar; see the module's account.
+def still_mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the groups whose members are in more than one component, with their labels."""
+    known = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return known.join(mixed_keys, "key")
 
-    Nodes with one home are joined under that hub only.
+
+def rest_pairs(ws: Workspace, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub and of different components that can be similar; see the module's account.
+
+    tried: a (the hub), b, n, adds, lacks and label.
     """
-    label = labels.select(F.col("node").alias("b"), "label")
-    hub_label = labels.select(F.col("node").alias("a"), F.col("label").alias("hub_label"))
-    rows = tried.join(label, "b", "left").join(hub_label, "a", "left").join(home, "b", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "b")).withColumn("hub_label", F.coalesce("hub_label", "a"))
-    rows = rows.withColumn("left", F.col("label") != F.col("hub_label"))
-    hubs = rows.groupBy("a").agg(F.max("left").alias("any"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("any AND l0 < l1 AND (h0 < h1 OR h0 = a)").select("a")
-    parts = F.concat(F.transform("first_added", lambda x: F.struct(F.lit(True).alias("plus"), x.alias("el"))), F.transform("first_lacking", lambda x: F.struct(F.lit(False).alias("plus"), x.alias("el"))))
-    entries = rows.join(hubs, "a", "left_semi").select("a", "b", "n", "added", "lacking", "label", "left", "home", F.explode(parts).alias("e")).select("*", "e.plus", "e.el").drop("e")
-    # shingles that nodes of one label, or of one other home, have to themselves lead nowhere
-    mixed_labels = entries.groupBy("a", "el", "plus").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("l0 < l1 AND (h0 < h1 OR h0 = a)").select("a", "el", "plus")
-    entries = entries.join(mixed_labels, ["a", "el", "plus"])
-    x, y = entries.where("left").alias("x"), entries.alias("y")
-    most = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    least = F.when(F.col("x.plus"), F.abs(F.col("x.added") - F.col("y.added"))).otherwise(F.col("x.added") + F.col("y.added")) + F.abs(F.col("x.lacking") - F.col("y.lacking"))
-    once = ~F.col("y.left") | (F.col("x.b") < F.col("y.b"))
-    here = (F.col("x.home") != F.col("y.home")) | (F.col("x.home") == F.col("x.a"))
-    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.el") == F.col("y.el")) & (F.col("x.plus") == F.col("y.plus")) & (F.col("x.label") != F.col("y.label")) & once & here & (least <= most)
-    return x.join(y, on).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    sized = tried.select("a", "b", "n", "label", F.size("adds").alias("added"), F.size("lacks").alias("lacking"))
+    signed = F.concat(F.transform("adds", lambda x: F.struct(F.lit(True).alias("plus"), x.alias("el"))), F.transform("lacks", lambda x: F.struct(F.lit(False).alias("plus"), x.alias("el"))))
+    elements = tried.select("a", "b", "label", F.explode(signed).alias("e")).select("a", "b", "label", "e.plus", "e.el")
+    useful = elements.groupBy("a", "el", "plus").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a", "el", "plus", "times")
+    useful = ws.table(elements.drop("label").join(useful, ["a", "el", "plus"]), "useful")
+    ordered = useful.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "el", "plus"))).alias("us"))  # no more than one document's shingles
+    most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
+    placed = ordered.join(sized, ["a", "b"]).select("*", F.posexplode("us").alias("i", "u")).withColumn("at", F.col("added") + F.col("lacking") - F.size("us") + F.col("i"))
+    placed = placed.where(F.col("at") <= most).select("a", "b", "n", "added", "lacking", "label", "at", "u.el", "u.plus")
+    placed = ws.table(placed, "prefixes")
+    x, y = placed.alias("x"), placed.alias("y")
+    allowed = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    rest = lambda t: F.col(f"{t}.added") + F.col(f"{t}.lacking") - F.col(f"{t}.at")
+    by_place = F.col("x.at") + F.col("y.at") + F.abs(rest("x") - rest("y")) <= allowed
+    by_size = F.abs(F.col("x.added") - F.col("y.added")) + F.abs(F.col("x.lacking") - F.col("y.lacking")) <= allowed
+    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.el") == F.col("y.el")) & (F.col("x.plus") == F.col("y.plus"))
+    found = x.join(y, on & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & by_place & by_size)
+    return found.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+
+
+def verified_links(ws: Workspace, stars: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of nodes, enough of them for all components, and the components' labels."""
+    others = stars.where("node <> hub")
+    one_hub = others.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("node").alias("b"))
+    links = ws.table(compared(ws.table(one_hub, "first-pairs"), sets, percent).where("similar").select("a", "b"), "links")
+    labels = components(ws, links)
+    mixed = ws.table(still_mixed(stars, labels).drop("label"), "mixed")
+    hub_pairs = ws.table(mixed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs")
+    if hub_pairs.isEmpty():
+        return links, labels
+    tried = ws.table(compared(hub_pairs, sets, percent, differences=True), "tried")
+    links = ws.table(links.unionAll(tried.where("similar").select("a", "b")).distinct(), "links")
+    labels = components(ws, links)
+    apart = still_mixed(mixed, labels).select(F.col("hub").alias("a"), F.col("node").alias("b"), "label").distinct()
+    rest = ws.table(rest_pairs(ws, ws.table(tried.join(apart, ["a", "b"]), "apart"), percent), "rest-pairs")
+    if not rest.isEmpty():
+        more = ws.table(compared(rest, sets, percent).where("similar").select("a", "b"), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more).distinct()
+            labels = components(ws, links)
+    return links, labels
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -273,56 +305,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ws = Workspace(spark, "jaccard")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = ws.table(keyed.mapInArrow(_index(shingle, percent), f"doc_id {kind}, text_key bigint, n bigint, node bigint, node2 bigint, keys array<bigint>"), "indexed")
-    indexed, rows = rows, ws.table(rows.drop("keys"), "rows")
-    entries = indexed.select("node", F.explode("keys").alias("key"))
-    parts = []
-    for i in range(PASSES):
-        some = entries.where(F.pmod("key", F.lit(PASSES)) == i)
-        groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
-        parts.append(ws.table(some.join(groups, "key").distinct(), "entries"))
-        ws.drop(groups)
-        ws.sweep()
-    shared = reduce(DataFrame.unionAll, parts)
-    # the hub of a group is the member with most entries that others have as well
-    weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    shared = shared.join(weight, "node")
-    hub = shared.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("hub"))
-    members = ws.table(shared.join(hub, "key").select("hub", "node").distinct(), "members")
-    for p in (indexed, *parts):
-        ws.drop(p)
-    ws.sweep()
-    # the sets of members, from one row each
-    first = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.text_key").alias("tk"))
-    first = small(ws.table(first, "first"))
-    texts = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")), "left_semi").select("text")
-    sets = ws.table(texts.mapInArrow(_sets(shingle), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
-    ws.sweep()
-    # hubs
-    tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = compared_in_passes(ws, ws.table(tried, "hub-pairs"), sets, percent)
-    ws.drop(members)
+    indexed = ws.table(keyed.mapInArrow(_index(shingle, percent), f"doc_id {kind}, text_key bigint, n bigint, node bigint, node2 bigint, keys array<bigint>"), "indexed")
+    rows = ws.table(indexed.drop("keys"), "rows")
+    shared = shared_entries(ws, indexed)
+    ws.drop(indexed)
+    stars = ws.table(with_hubs(shared), "stars")
+    sets = node_sets(ws, keyed, rows, stars.select("node").distinct(), shingle)
     ws.sweep()
-    ws.sweep()
-    labels = components(ws, tried.where("similar").select("a", "b"))
-    home = ws.table(homes(tried, labels), "homes")
-    near = home.select(F.col("home").alias("a"), "b").where("a <> b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = tried.unionAll(compared_in_passes(ws, ws.table(near, "home-pairs"), sets, percent))
-    links = tried.where("similar").select("a", "b")
-    labels = components(ws, links)
-    ws.sweep()
-    # what is still apart
-    rest = ws.table(still_apart(tried, home, labels, percent), "rest-pairs")
-    ws.sweep()
-    if not rest.isEmpty():
-        more = compared_in_passes(ws, rest, sets, percent).where("similar").select("a", "b")
-        if not more.isEmpty():
-            links = links.unionAll(more).distinct()
-            labels = components(ws, links)
+    links, labels = verified_links(ws, stars, sets, percent)
     ws.drop(sets)
-    ws.sweep()
     # a node without links is a component by both of its numbers
-    named = rows.select("doc_id", "text_key", "n", "node", "node2").join(labels, "node", "left")
+    named = rows.join(labels, "node", "left")
     return named.select("doc_id", "text_key", "n", "node", F.coalesce("label", "node").alias("group"), F.when(F.col("label").isNull(), F.col("node2")).otherwise(F.lit(0)).alias("group2")), links
 
 
