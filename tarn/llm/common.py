@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tarn.workspace import Workspace, ship
 
-__all__ = ["BROADCAST_ROWS", "WORD", "Workspace", "crc_mod", "held", "same_row", "ship", "small", "tokenizer_path", "words_count"]
+__all__ = ["BROADCAST_ROWS", "CACHED_BYTES", "WORD", "Workspace", "crc_mod", "held", "same_row", "ship", "small", "tokenizer_path", "words_count"]
 
 #: ASCII white space; words are maximal runs of anything else. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side with at most so many narrow rows (a key and a few numbers each) is broadcast; its rows are counted first.
 BROADCAST_ROWS = 100_000
+#: Longer words are not remembered between documents, so that a memory bounded in entries is bounded in bytes.
+CACHED_BYTES = 64
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
