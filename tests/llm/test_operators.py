@@ -275,6 +275,18 @@ def test_jaccard_join_is_exact(spark):
     assert five == {i: c for i, (_, c) in brute_components(rows, 5, 80).items()}
 
 
+def test_jaccard_of_one_large_group(spark):
+    """Near copies of one text, about as far from one another as a link may be, with some that few others are near to."""
+    rng = random.Random(77)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    near = [edited(base, rng, 2) for _ in range(3)]
+    rows = {i: " ".join(edited(rng.choice(near), rng, rng.randrange(2, 5))) for i in range(700)}
+    rows |= {700 + i: " ".join(edited(rows[rng.randrange(700)].split(), rng, 2)) for i in range(200)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 3
+
+
 def test_pigeonhole_covers_every_similar_pair():
     rng = np.random.default_rng(6)
     bands = jaccard.Bands()
@@ -367,6 +379,33 @@ def test_toxicity_held_out_and_spans(spark):
     assert spans and all(re.search("nasty|vilest|horrid", s.lower()) for s in spans)
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores and spans from the model's weights, one document after the other."""
+    df, labels, _ = labelled(spark, 200)
+    df = df.unionAll(spark.createDataFrame([(900, None), (901, ""), (902, "vilest " * 3000), (903, "a" * 100 + " nastyone")], df.schema))
+    model = toxicity.train(df, labels)
+    a = np.exp(model.trans)
+    for r in toxicity.score(df, model).join(df, "doc_id").collect():
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", r.text or ""))
+        e = np.array([[model.emission(w[0].encode())] for w in words]).reshape(-1, 1)
+        p = toxicity.marginals(e, np.ones(e.shape, bool), a)[0][:, 0]
+        total, top = p.sum(), np.sort(np.append(p, [0.0, 0.0]))[::-1]
+        x = [np.log1p(total), top[0], top[1], min(1.0, 20 * total / max(1, len(p)))]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.layer[0] + np.dot(x, model.layer[1:])))))
+        hot = {i for i in np.flatnonzero(p > 0.5)}
+        assert [(s.start, s.stop) for s in r.spans] == [(words[i].start(), words[max(k for k in range(i, len(words)) if set(range(i, k + 1)) <= hot)].end()) for i in sorted(hot) if i - 1 not in hot]
+        assert r.n_toxic == len(hot)
+
+
+def test_toxicity_sample_is_bounded_in_tokens(spark):
+    df, labels, truth = labelled(spark)
+    sizes = spark.createDataFrame([(i, i % 2, 10) for i in range(40)] + [(99, 0, 10**9)], "doc_id bigint, y int, n bigint")
+    kept = toxicity.bounded(sizes, 55)
+    assert sum(i % 2 for i in kept) == 5 and len(kept) == 10 and kept == toxicity.bounded(sizes.orderBy(F.rand()), 55)
+    rows = toxicity.score(df, toxicity.train(df, labels, tokens=3000)).collect()
+    assert sum((r.score >= 0.7) == truth[r.doc_id][1] for r in rows) / len(rows) > 0.9
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(1)
     e, a = rng.random((5, 2)) * 3, rng.random((2, 2)) + 0.1
@@ -399,7 +438,8 @@ def test_line_dedup_matches_brute_force(spark):
     rows[80] = "\n".join(["big " + "word " * 20_000, "big " + "word " * 20_000 + "end"])
     df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(3)
     got = {(r.doc_id, r.line_no) for r in lines.occurrences_to_drop(df).collect()}
-    hashed = {(r.doc_id, r.line_no): r.simhash for r in lines.simhashes(lines.lines_of(df.where("doc_id < 80"))).collect()}
+    norms = lines.lines_of(df.where("doc_id < 80")).select("norm").distinct().withColumn("node", F.xxhash64("norm"))
+    hashed = {r.norm: r.simhash for r in lines.simhashes(norms).join(norms, "node").collect()}
     norm = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
     where = collections.defaultdict(list)
     for i, t in sorted(rows.items()):
@@ -409,7 +449,7 @@ def test_line_dedup_matches_brute_force(spark):
     u, names = Union(), list(where)
     for i, a in enumerate(names):
         for j, b in enumerate(names[:i]):
-            x, y = hashed.get(where[a][0]), hashed.get(where[b][0])
+            x, y = hashed.get(a), hashed.get(b)
             if x is not None and y is not None and (x ^ y).bit_count() <= lines.MAX_BITS and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
                 u.join(i, j)
     groups = collections.defaultdict(list)
@@ -432,7 +472,7 @@ def levenshtein(a, b):
 def test_simhash_is_a_majority(spark):
     """Of the word pairs' hashes, bit by bit."""
     df = spark.createDataFrame([(1, "a b c d e f g a b"), (2, "one")], "doc_id bigint, text string")
-    got = {r.doc_id: r.simhash for r in lines.simhashes(lines.lines_of(df)).collect()}
+    got = {r.node: r.simhash for r in lines.simhashes(df.toDF("node", "norm")).collect()}
     for r in df.collect():
         w = r.text.split()
         pairs = spark.createDataFrame([(x, y) for x, y in zip(w, [*w[1:], None], strict=True)], "a string, b string").select(F.xxhash64("a", "b")).collect()
@@ -458,10 +498,37 @@ def test_line_dedup_recall_by_edit_similarity_alone(spark):
     assert len(got) >= 0.9 * len(pairs)
 
 
+def test_pieces_do_not_change_what_is_alike(spark):
+    """Long lines, just within and beyond the bound, with changes spread, shifted and swapped."""
+    rng = random.Random(4)
+    rows = []
+    for length in (60, 700, 3000):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(length))
+        for n in (0, length // 20, length // 10, length // 9, length // 7):
+            spread = list(base)
+            for at in rng.sample(range(length), n):
+                spread[at] = "z"
+            rows += [(base, "".join(spread)), (base, "y" * n + base), (base, base[n:] + base[:n])]
+    df = spark.createDataFrame([(x, y, max(len(x), len(y)) // 10) for x, y in rows], "x string, y string, most int")
+    for r in df.select("*", lines.alike("x", "y", "most").alias("alike"), F.expr("levenshtein(x, y)").alias("far")).collect():
+        assert r.alike == (r.far <= r.most)
+
+
+def test_hot_key_of_lines_that_are_not_alike(spark):
+    """Lines that share all the keys of one half and are linked in two groups alone."""
+    rng = random.Random(12)
+    start = " ".join(f"s{i}" for i in range(10))
+    rows = [(i, f"{start} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))) for i in range(300)]
+    rows += [(1000 + i, rows[7][1][:-1] + c) for i, c in enumerate("xyz")] + [(2000 + i, rows[200][1] + f" {c}") for i, c in enumerate("xy")]
+    got = {r.doc_id for r in lines.occurrences_to_drop(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1000, 1001, 1002, 2000, 2001}
+
+
 def test_clean_keeps_first_lines(spark, odd):
     df = spark.createDataFrame([(1, "Hello there\n\nunique one\nhello, THERE!"), (2, "hello there"), (3, None)], "doc_id bigint, text string").withColumn("dropped", F.lit("clash")).withColumn("id", F.lit(0))
     got = lines.clean(df.drop("dropped"))
     assert {r.doc_id: r.text for r in got.collect()} == {1: "Hello there\n\nunique one", 2: "", 3: None}
+    assert {r.doc_id for r in lines.clean(df.drop("dropped"), keep_emptied=False).collect()} == {1, 3}
     kept = lines.clean(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
