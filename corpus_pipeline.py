@@ -2,7 +2,11 @@
 stays, sources are mixed to their weights, and the mix is packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
-the next one. All stages but the last return the columns of documents.
+the next one. All stages but the last return the columns of documents, and any further ones, whatever their names.
+
+Documents with null or empty texts pass the first three stages as they are; the mix takes them as often as all of their source.
+Rows with the same id and text are scored alike, keep the same lines, and count as copies of one document, of which one stays.
+An empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -21,9 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat go, with documents that consist of such lines alone."""
-    out = lines.clean(docs.withColumn("blank", ~F.col("text").rlike(r"[\p{L}\p{N}]")))
-    left = F.col("text").isNull() | F.col("blank") | F.col("text").rlike(r"[\p{L}\p{N}]")
-    out = out.where(left).drop("blank")
+    out = lines.clean(docs, keep_emptied=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -49,11 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "pipeline")
+    ws, opened = Workspace(spark, "pipeline"), Workspace.opened(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         before, docs = docs, ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         ws.drop(before)
+        Workspace.close_since(spark, opened)  # what the stage wrote for itself
     return docs
 
 

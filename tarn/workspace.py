@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset in local mode, as in tests, a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         if not getattr(sc, "_tarn_dir", None):
             sc._tarn_dir = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
         d = sc._tarn_dir
@@ -22,11 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written tables of one job. drop() deletes what is no longer read."""
+    """Written tables of one job. drop() deletes what is no longer read; close_since() all tables of jobs whose results are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        self._all(spark).append(self.base)
+
+    @staticmethod
+    def _all(spark: SparkSession) -> list[str]:
+        sc = spark.sparkContext
+        if not hasattr(sc, "_tarn_bases"):
+            sc._tarn_bases = []
+        return sc._tarn_bases
+
+    @classmethod
+    def opened(cls, spark: SparkSession) -> int:
+        """A mark for close_since()."""
+        return len(cls._all(spark))
+
+    @classmethod
+    def close_since(cls, spark: SparkSession, mark: int = 0) -> None:
+        """Deletes the tables of all workspaces opened since the mark (0: of the application)."""
+        bases = cls._all(spark)
+        for base in bases[mark:]:
+            delete(spark, base)
+        del bases[mark:]
 
     def path(self, name: str) -> str:
         self.n += 1
