@@ -11,13 +11,12 @@ segments prove too little; a pair is then found from its other set, or both inde
 Pairs are not formed within a group that shares an index entry; each group has a hub, its member with most entries that others
 have as well. First each node is compared with one hub, the heaviest of its groups', and what is verified is joined into
 components. Only the groups whose members are then in different components go on: all members of such a group are compared
-with its hub, which also gives what they add to it and lack of it, and components are joined again. For what is still
-apart, let D be the signed set of a member's additions and lacks. Two members differ in as many elements as their D's do, and
+with its hub, which in groups of more than two also gives what they add to it and lack of it, and components are joined again.
+For groups whose members, but for the hub, are still apart, let D be the signed set of a member's additions and lacks. Two members differ in as many elements as their D's do, and
 similar members of different components have at least one element of D in common (were there none, both would be similar to
-their hub). So members of a hub are joined on the elements of D, in an order by rarity within the hub, by the prefix filter
-with positions: at the first element in common, what precedes it on both sides and the difference of what remains are
-differences of the two sets. Elements that only one component has come first of all; they lead nowhere, but count as
-positions. What remains is verified. Every comparison is exact, on 64-bit hashes of all shingles.
+their hub). So members of a hub are joined on the elements of D by the prefix filter with positions, in an order by rarity within the hub if
+both are near it, else in the order of hashes, of which fewer elements are needed: at the first element in common, what precedes it on both sides and the difference of what remains are
+differences of the two sets. Elements that only one component has lead nowhere, but count as positions; by rarity, they come first of all. What remains is verified. Every comparison is exact, on 64-bit hashes of all shingles.
 
 Null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one. Null ids are
 allowed: they never are a component's smallest id unless it has no other. Repeated rows are one node. Only the id and text
@@ -40,6 +39,8 @@ from tarn.llm.components import components
 SHINGLE, PERCENT = 4, 85
 #: Index entries are grouped in so many passes, each over a share of the keys, so that a pass's shuffle files can go before the next.
 PASSES = 4
+#: Members with at most so many times the differences of similar sets are near their hub.
+NEAR = 2
 #: Of the cost of an allocation: what a segment that two unlike sets share costs, and how likely one more shingle in common is.
 SHARED_COST, SHARED = 200.0, 0.35
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -180,7 +181,18 @@ def _sets(shingle: int):
 
 
 def _compare(percent: int, differences: bool):
-    """(a, b, sets of both) to whether they are similar and, if asked for, b's size and what it adds to a and lacks of it."""
+    """(a, b, sets of both) to whether they are similar and, if asked for, b's size and what it adds to a and lacks of it.
+
+    Of members that are not near their hub, adds and lacks have only what the prefix filter needs in the order of hashes.
+    """
+    bands = Bands(percent)
+
+    def difference(s: np.ndarray, t: np.ndarray, in_s: np.ndarray) -> tuple:
+        adds, lacks, most = t[~in_s], s[~_within(s, t)], bands.differences(len(t), bands.largest(len(t)))
+        counts, near = (len(t), len(adds), len(lacks)), len(adds) + len(lacks) <= NEAR * most
+        if not near:
+            adds, lacks = adds[: most + 1], lacks[: max(0, most + 1 - len(adds))]
+        return *counts, near, adds.view(np.int64), lacks.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +202,10 @@ def _compare(percent: int, differences: bool):
                 in_s = _within(t, s)
                 common = int(in_s.sum())
                 similar = 100 * common >= percent * (len(s) + len(t) - common)
-                rows.append((similar, len(t), t[~in_s].view(np.int64), s[~_within(s, t)].view(np.int64)) if differences else (similar,))
-            kinds = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())][: 4 if differences else 1]
+                rows.append((similar, *difference(s, t, in_s)) if differences else (similar,))
+            kinds = [pa.bool_(), *[pa.int64()] * 3, pa.bool_(), *[pa.list_(pa.int64())] * 2][: 7 if differences else 1]
             found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["a", "b", "similar", "n", "adds", "lacks"][: 2 + len(kinds)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["a", "b", "similar", "n", "added", "lacking", "near", "adds", "lacks"][: 2 + len(kinds)])
 
     return run
 
@@ -209,7 +221,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     """The pairs (a, b) of nodes, a written table, compared. b's sets meet the pairs first, then travel to a's."""
     a_only = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
-    out = "a bigint, b bigint, similar boolean" + (", n bigint, adds array<bigint>, lacks array<bigint>" if differences else "")
+    out = "a bigint, b bigint, similar boolean" + (", n bigint, added bigint, lacking bigint, near boolean, adds array<bigint>, lacks array<bigint>" if differences else "")
     return one.join(a_only, "a").select("a", "b", "sa", "sb").mapInArrow(_compare(percent, differences), out)
 
 
@@ -243,52 +255,72 @@ def node_sets(ws: Workspace, keyed: DataFrame, rows: DataFrame, nodes: DataFrame
     return ws.table(sets if first.where("times > 1").isEmpty() else sets.dropDuplicates(["node"]), "sets")
 
 
-def still_mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of the groups whose members are in more than one component, with their labels."""
-    known = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return known.join(mixed_keys, "key")
+def still_mixed(stars: DataFrame, labels: DataFrame, hubs_too: bool) -> DataFrame:
+    """The rows of the groups whose members are in more than one component, with their labels; of the members but the hub unless hubs_too."""
+    known = stars if hubs_too else stars.where("node <> hub")
+    known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    return known.join(mixed_keys.select("key", "members"), "key")
 
 
 def rest_pairs(ws: Workspace, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one hub and of different components that can be similar; see the module's account.
 
-    tried: a (the hub), b, n, adds, lacks and label.
+    tried: a (the hub), b, n, added, lacking, near, adds, lacks and label. Two near members are joined in the order of rarity,
+    others in that of hashes, additions first.
     """
-    sized = tried.select("a", "b", "n", "label", F.size("adds").alias("added"), F.size("lacks").alias("lacking"))
     signed = F.concat(F.transform("adds", lambda x: F.struct(F.lit(True).alias("plus"), x.alias("el"))), F.transform("lacks", lambda x: F.struct(F.lit(False).alias("plus"), x.alias("el"))))
-    elements = tried.select("a", "b", "label", F.explode(signed).alias("e")).select("a", "b", "label", "e.plus", "e.el")
-    useful = elements.groupBy("a", "el", "plus").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a", "el", "plus", "times")
-    useful = ws.table(elements.drop("label").join(useful, ["a", "el", "plus"]), "useful")
+    sized = tried.select("a", "b", "n", "added", "lacking", "near", "label", F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent)).alias("most"), signed.alias("signed"))
+    columns = ["a", "b", "n", "added", "lacking", "near", "label", "at", "el", "plus"]
+    near = sized.where("near").select("a", "b", "label", F.explode("signed").alias("e")).select("a", "b", "label", "e.plus", "e.el")
+    useful = near.drop("label").join(of_many(near), ["a", "el", "plus"])
     ordered = useful.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "el", "plus"))).alias("us"))  # no more than one document's shingles
-    most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
-    placed = ordered.join(sized, ["a", "b"]).select("*", F.posexplode("us").alias("i", "u")).withColumn("at", F.col("added") + F.col("lacking") - F.size("us") + F.col("i"))
-    placed = placed.where(F.col("at") <= most).select("a", "b", "n", "added", "lacking", "label", "at", "u.el", "u.plus")
-    placed = ws.table(placed, "prefixes")
-    x, y = placed.alias("x"), placed.alias("y")
+    by_rarity = ordered.join(sized.drop("signed"), ["a", "b"]).select("*", F.posexplode("us").alias("i", "u")).withColumn("at", F.col("added") + F.col("lacking") - F.size("us") + F.col("i"))
+    by_rarity = by_rarity.where(F.col("at") <= F.col("most")).select("*", "u.el", "u.plus").select(*columns)
+    with_far = sized.join(sized.where("NOT near").select("a").distinct(), "a", "left_semi")
+    by_hash = with_far.select("*", F.posexplode("signed").alias("at", "e")).where(F.col("at") <= F.col("most")).select("*", "e.el", "e.plus").select(*columns)
+    by_hash = by_hash.join(of_many(by_hash).drop("times"), ["a", "el", "plus"]).select(*columns)
+    parts = []
+    for prefixes, kind in ((by_rarity, "true"), (by_hash, "NOT (x.near AND y.near)")):
+        placed = ws.table(prefixes, "prefixes")
+        x, y = placed.alias("x"), placed.alias("y")
+        on = (F.col("x.a") == F.col("y.a")) & (F.col("x.el") == F.col("y.el")) & (F.col("x.plus") == F.col("y.plus"))
+        found = x.join(y, on & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & may_be_similar(percent) & F.expr(kind))
+        parts.append(found.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
+    return reduce(DataFrame.unionAll, parts).distinct()
+
+
+def of_many(elements: DataFrame) -> DataFrame:
+    """a, el, plus and times of the elements that members of more than one component have; the others lead nowhere."""
+    return elements.groupBy("a", "el", "plus").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a", "el", "plus", "times")
+
+
+def may_be_similar(percent: int):
+    """By the places (at) of a first element in common of x and y, and by their numbers of additions and lacks."""
     allowed = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
     rest = lambda t: F.col(f"{t}.added") + F.col(f"{t}.lacking") - F.col(f"{t}.at")
     by_place = F.col("x.at") + F.col("y.at") + F.abs(rest("x") - rest("y")) <= allowed
-    by_size = F.abs(F.col("x.added") - F.col("y.added")) + F.abs(F.col("x.lacking") - F.col("y.lacking")) <= allowed
-    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.el") == F.col("y.el")) & (F.col("x.plus") == F.col("y.plus"))
-    found = x.join(y, on & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & by_place & by_size)
-    return found.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    return by_place & (F.abs(F.col("x.added") - F.col("y.added")) + F.abs(F.col("x.lacking") - F.col("y.lacking")) <= allowed)
 
 
 def verified_links(ws: Workspace, stars: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of nodes, enough of them for all components, and the components' labels."""
     others = stars.where("node <> hub")
     one_hub = others.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("node").alias("b"))
-    links = ws.table(compared(ws.table(one_hub, "first-pairs"), sets, percent).where("similar").select("a", "b"), "links")
+    one_hub = ws.table(one_hub, "first-pairs")
+    links = ws.table(compared(one_hub, sets, percent).where("similar").select("a", "b"), "links")
     labels = components(ws, links)
-    mixed = ws.table(still_mixed(stars, labels).drop("label"), "mixed")
-    hub_pairs = ws.table(mixed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs")
+    mixed = ws.table(still_mixed(stars, labels, True).drop("label"), "mixed").where("node <> hub")
+    hub_pairs = ws.table(mixed.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("members").alias("members")), "hub-pairs")
     if hub_pairs.isEmpty():
         return links, labels
-    tried = ws.table(compared(hub_pairs, sets, percent, differences=True), "tried")
-    links = ws.table(links.unionAll(tried.where("similar").select("a", "b")).distinct(), "links")
+    # members of a group of two have nobody else to be compared with
+    alone = ws.table(hub_pairs.where("members = 2").select("a", "b").join(one_hub, ["a", "b"], "left_anti"), "pairs-alone")
+    tried = ws.table(compared(ws.table(hub_pairs.where("members > 2").select("a", "b"), "pairs-of-groups"), sets, percent, differences=True), "tried")
+    found = [compared(alone, sets, percent).where("similar").select("a", "b"), tried.where("similar").select("a", "b")]
+    links = ws.table(reduce(DataFrame.unionAll, [links, *found]).distinct(), "links")
     labels = components(ws, links)
-    apart = still_mixed(mixed, labels).select(F.col("hub").alias("a"), F.col("node").alias("b"), "label").distinct()
+    apart = still_mixed(mixed.where("members > 2").drop("members"), labels, False).select(F.col("hub").alias("a"), F.col("node").alias("b"), "label").distinct()
     rest = ws.table(rest_pairs(ws, ws.table(tried.join(apart, ["a", "b"]), "apart"), percent), "rest-pairs")
     if not rest.isEmpty():
         more = ws.table(compared(rest, sets, percent).where("similar").select("a", "b"), "links")
