@@ -36,6 +36,20 @@ MAGIC = (
 )
 
 
+class Finder:
+    """Finds byte strings from places that only grow; all searches for one string take one pass over the data."""
+
+    def __init__(self, data: bytes):
+        self.data, self.last = data, {}
+
+    def find(self, what: bytes, start: int) -> int:
+        at = self.last.get(what, -2)
+        if at == -1 or at >= start:
+            return at
+        self.last[what] = at = self.data.find(what, start)
+        return at
+
+
 def _wav(b: memoryview) -> int | None:
     """Bytes of the RIFF/WAVE file at the start of b, if it is one: chunks fill it, fmt agrees with itself and precedes data."""
     if len(b) < 44 or bytes(b[8:12]) != b"WAVE":
@@ -102,12 +116,12 @@ def _bmp(b: memoryview) -> int | None:
     return size if need <= size <= len(b) else None
 
 
-def _jpeg(b: memoryview) -> int | None:
+def _jpeg(b: memoryview, f: Finder, start: int) -> int | None:
     at = 2
     while at + 4 <= len(b) and b[at] == 0xFF:
         if b[at + 1] == 0xDA:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return at + end + 2 if end >= 0 else None
+            end = f.find(b"\xff\xd9", start + at)
+            return end + 2 - start if end >= 0 else None
         n = struct.unpack_from(">H", b, at + 2)[0]
         if n < 2:
             return None
@@ -115,23 +129,33 @@ def _jpeg(b: memoryview) -> int | None:
     return None
 
 
-def _pdf(b: memoryview) -> int | None:
-    raw = bytes(b)
-    end = raw.find(b"%%EOF")
-    return end + 5 if end >= 0 and 0 <= raw.find(b"startxref") < end else None
+def _pdf(b: memoryview, f: Finder, start: int) -> int | None:
+    """To the last end mark before the next file: updates append marks of their own."""
+    following = f.find(b"%PDF-", start + 5)
+    end = f.data.rfind(b"%%EOF", start, following if following >= 0 else len(f.data))
+    return end + 5 - start if end >= 0 and f.data.find(b"startxref", start, end) >= 0 else None
 
 
-def _zip(b: memoryview) -> int | None:
-    raw = bytes(b)
-    at = raw.find(b"PK\x05\x06")
-    if at < 0 or at + 22 > len(raw):
+def _zip(b: memoryview, f: Finder, start: int) -> int | None:
+    at = f.find(b"PK\x05\x06", start) - start
+    if at < 0 or at + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", raw, at + 12)
-    return at + 22 + note if start + size == at and raw[start : start + 4] == b"PK\x01\x02" and at + 22 + note <= len(raw) else None
+    size, first, note = struct.unpack_from("<IIH", b, at + 12)
+    return at + 22 + note if first + size == at and bytes(b[first : first + 4]) == b"PK\x01\x02" and at + 22 + note <= len(b) else None
 
 
 def _flac(b: memoryview) -> int | None:
-    return len(b) if len(b) >= 42 and b[4] & 0x7F == 0 and int.from_bytes(b[5:8], "big") == 34 else None
+    """Metadata blocks, the first of which has plausible numbers, then a frame. The format doesn't say where it ends: to the end of the data."""
+    if len(b) < 42 or b[4] & 0x7F or int.from_bytes(b[5:8], "big") != 34:
+        return None
+    least, most, rate = int.from_bytes(b[8:10], "big"), int.from_bytes(b[10:12], "big"), int.from_bytes(b[18:21], "big") >> 4
+    if not 16 <= least <= most or not 0 < rate <= 655_350:
+        return None
+    at, last = 4, False
+    while not last and at + 4 <= len(b):
+        last = bool(b[at] & 0x80)
+        at += 4 + int.from_bytes(b[at + 1 : at + 4], "big")
+    return len(b) if last and at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFE == 0xF8 else None
 
 
 def _ogg(b: memoryview) -> int | None:
@@ -145,6 +169,8 @@ def _ogg(b: memoryview) -> int | None:
     return at if last and at <= len(b) else None
 
 
+#: Validators that search for where a medium ends, rather than step from length to length.
+SEARCHING = {"image/jpeg", "application/pdf", "application/zip"}
 VALID = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/bmp": _bmp, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "audio/flac": _flac, "audio/ogg": _ogg}
 
 
@@ -161,10 +187,10 @@ def automaton():
 
 def sniff(data: bytes, a) -> list[tuple[int, int, str]]:
     """(start, bytes, media type) of the valid media in data, none within another, by start."""
-    out, free, view = [], 0, memoryview(data)
+    out, free, view, finder = [], 0, memoryview(data), Finder(data)
     for end, (back, kind) in a.iter(data.decode("latin-1")):
         start = end - back
-        if start >= free and (n := VALID[kind](view[start:])):
+        if start >= free and (n := VALID[kind](view[start:], finder, start) if kind in SEARCHING else VALID[kind](view[start:])):
             out.append((start, n, kind))
             free = start + n
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import crc_mod, ship
+from tarn.llm.common import CACHED_BYTES, crc_mod, ship
 from tarn.llm.labelled import sample_ids, with_sample
 
 VOCABULARY, SHAPES, DIM, NONZERO = 1 << 14, 1 << 11, 32, 2
@@ -56,7 +56,9 @@ class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
-        self[word] = b = bucket(word)
+        b = bucket(word)
+        if len(word) <= CACHED_BYTES:
+            self[word] = b
         return b
 
     def of(self, text: str | None) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import ship
 
 #: Of the rules below; a rule that changes needs a new number, so that old blobs are scanned again.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 BASE = ("assign", "access", "hex")
 #: Fixed patterns. The first three are the base; the others are the scan's own.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,10 +30,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MORE = {
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "url": re.compile(r"(?<=[a-z0-9+.-])://[^\s/:@]+:[^\s/:@]{3,}@"),  # from the colon on; the scheme is before it
 }
+SCHEME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 KINDS = (*BASE, *MORE)
 #: HEX and ACCESS, as runs that are long enough; the runs are maximal either way.
 LONG_HEX, LONG_ACCESS = re.compile(r"[0-9a-f]{24,}"), re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -41,6 +42,16 @@ FINDINGS = "array<struct<kind:string,start:int,stop:int>>"
 SCANNED = f"blob binary, rule_version string, findings {FINDINGS}"
 
 
+def scheme(text: str, end: int) -> int:
+    """Where the scheme that ends there starts: at the first small letter of the run of its characters."""
+    start = end
+    while start and text[start - 1] in SCHEME_CHARACTERS:
+        start -= 1
+    while start < end and not "a" <= text[start] <= "z":
+        start += 1
+    return start
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then in the order of KINDS."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -54,7 +65,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN" in text:
         out += [("pem", *m.span()) for m in MORE["pem"].finditer(text)]
     if "://" in text:
-        out += [("url", *m.span()) for m in MORE["url"].finditer(text)]
+        out += [("url", start, m.end()) for m in MORE["url"].finditer(text) if (start := scheme(text, m.start())) < m.start()]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,7 +1,8 @@
 """Operator 2: token counts by a count-only Viterbi.
 
 The vocabulary and scores of a public piece model are read as a unigram model: the segmentation of a text is the one with
-the highest sum of scores. An Aho-Corasick automaton enumerates the vocabulary entries that end at each character, and
+the highest sum of scores. The given models are BPE models, whose scores are ranks of merges, so that these are the counts of a
+unigram tokenizer with that vocabulary and these scores, not of the BPE tokenizer itself; a unigram model can be given as path. An Aho-Corasick automaton enumerates the vocabulary entries that end at each character, and
 dynamic programming carries the best score and the number of pieces alone, with no path. The tie rule is the tokenizer's:
 candidates for one end come in order of their starts and a later one must be strictly better, so the longest piece wins.
 A character that is no piece gets the lowest score less 10, and counts as its UTF-8 bytes. Words (a space mark and what
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ship, tokenizer_path
+from tarn.llm.common import CACHED_BYTES, ship, tokenizer_path
 
 MARK = "▁"
 PENALTY = 10.0
@@ -72,7 +73,9 @@ class UnigramCounter:
         for w in text.split(" "):
             n = cache.get(w)
             if n is None:
-                n = cache[w] = self.word(MARK + w)
+                n = self.word(MARK + w)
+                if len(w) <= CACHED_BYTES:
+                    cache[w] = n
             total += n
         return total
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import timeit
 import zlib
 
 import numpy as np
@@ -78,6 +79,22 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert sorted(map(tuple, found)) == [("a", 1), ("a", 2), ("c", 1)]
 
 
+def test_own_rules_have_no_caps():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in secrets.find(t) if k not in secrets.BASE]
+    url = "https://user:" + "p" * 200 + "@host"
+    assert kinds(f"see {url}") == [("url", url[:-4])]
+    assert kinds("9http://a:bcd@x ://a:bcd@x 99://a:bcd@x") == [("url", "http://a:bcd@")]
+    jwt = "eyJ" + "a" * 300 + ".eyJ" + "b" * 20 + "." + "c" * 43
+    assert kinds(f"Bearer {jwt};") == [("jwt", jwt)]
+    assert kinds("-----BEGIN " + "VERY " * 20 + "PRIVATE KEY-----")[0][0] == "pem"
+
+
+@pytest.mark.parametrize("part", ["eyJ", "a://", "a://b:", "-----BEGIN ", "password=", "ghp_"])
+def test_scan_time_is_linear(part):
+    best = lambda n: min(timeit.repeat(lambda: secrets.find(part * n), number=1, repeat=3))
+    assert best(40_000) < 4 * best(20_000) + 0.05
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------------
 def test_token_counts_match_the_tokenizer(docs):
     import sentencepiece
@@ -343,6 +360,24 @@ def test_sniffing(spark):
     assert got["null"].format is None and got["empty"].format == "application/octet-stream"
 
 
+@pytest.mark.parametrize("part", [b"%PDF-", b"\xff\xd8\xff\xda\0\2", b"PK\x03\x04", b"%PDF- startxref ", b"fLaC", b"RIFF"])
+def test_sniffing_time_is_linear(part):
+    a = media.automaton()
+    best = lambda n: min(timeit.repeat(lambda: media.sniff(part * n, a), number=1, repeat=3))
+    assert best(40_000) < 4 * best(20_000) + 0.05
+
+
+def test_sniffing_of_ends():
+    a = media.automaton()
+    pdf = b"%PDF-1.4 x startxref\n0\n%%EOF"
+    assert [x[:2] for x in media.sniff(pdf + b" update startxref\n9\n%%EOF", a)] == [(0, len(pdf) + 25)]
+    assert [x[:2] for x in media.sniff(pdf + b"  " + pdf, a)] == [(0, len(pdf)), (len(pdf) + 2, len(pdf))]
+    head = struct.pack(">HH", 4096, 4096) + bytes(6) + (44_100 << 12).to_bytes(4, "big") + bytes(4) + bytes(16)
+    flac = b"fLaC\x80\0\0\x22" + head + b"\xff\xf8frame"
+    assert media.sniff(flac, a) == [(0, len(flac), "audio/flac")]
+    assert media.sniff(b"fLaC" + b"\0\0\0\x22" + bytes(60), a) == []
+
+
 # 8 and 10 ------------------------------------------------------------------------------------------------------------------
 def labelled(spark, n=400):
     rng = random.Random(8)
