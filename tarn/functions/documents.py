@@ -82,14 +82,20 @@ def json_contains(doc: pd.Series, part: pd.Series) -> pd.Series:
 
 
 def set_path(doc, path: list[str], value, create: bool = True):
-    """A copy of doc with the value at a path; objects by key, arrays by number (negative from the end)."""
+    """A copy of doc with the value at a path; objects by key, arrays by number (negative from the end).
+
+    With create, parents that are missing, or are neither object nor array, become objects.
+    """
     if not path:
         return value
     key, rest = path[0], path[1:]
     if isinstance(doc, dict):
-        if key not in doc and (rest or not create):
+        if key not in doc and not create:
             return doc
-        return doc | {key: set_path(doc.get(key), rest, value, create)}
+        child = doc.get(key)
+        if rest and create and not isinstance(child, (dict, list)):
+            child = {}
+        return doc | {key: set_path(child, rest, value, create)}
     if isinstance(doc, list):
         i = int(key)
         i = i + len(doc) if i < 0 else i

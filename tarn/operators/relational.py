@@ -71,7 +71,9 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], clauses: list[t
     ("not matched by source", condition or None, {column: value} or "delete"). Conditions and values see t.* and s.*.
     Two source rows for one target row are an error.
     """
-    s = source.withColumn("__s", F.lit(True)).withColumn("__many", F.count("*").over(Window.partitionBy(*keys)))
+    # counted, not windowed, so that null keys don't meet in one task
+    many = source.groupBy(*keys).agg(F.count("*").alias("__many")).where("__many > 1")
+    s = source.join(many, keys, "left").withColumn("__s", F.lit(True))
     t = target.withColumn("__t", F.lit(True))
     both = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
     j = t.alias("t").join(s.alias("s"), both, "full")
@@ -90,11 +92,28 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], clauses: list[t
     return j.where(checked).select(*(values[c].cast(target.schema[c].dataType).alias(c) for c in target.columns))
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
-    """INSERT ... ON CONFLICT (keys) DO UPDATE, or DO NOTHING. Keys are unique in rows."""
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: bool = True, values: dict[str, Column] | None = None, order: list[Column] | None = None, returning: bool = False) -> DataFrame:
+    """The target after INSERT ... ON CONFLICT (keys) DO UPDATE, or DO NOTHING; or, with returning, the rows inserted or updated.
+
+    values: what DO UPDATE sets, of t.* (the row that is there) and s.* (the new one); all columns of the new row by default.
+    Rows whose key isn't null and repeats: DO UPDATE is an error; DO NOTHING keeps the first in the given order (else any one).
+    Null keys conflict with nothing.
+    """
+    columns = target.columns
+    row, known = F.struct(*columns), reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    first = F.min_by(row, F.struct(*order)) if order else F.first(row)
+    unique = rows.where(known).groupBy(*keys).agg(first.alias("row"), F.count("*").alias("n"))
     if update:
-        return target.join(rows, keys, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
-    return target.unionByName(rows.join(target, keys, "left_anti").select(*target.columns))
+        again = F.raise_error(F.lit("ON CONFLICT DO UPDATE would change a row twice")).cast("boolean")
+        unique = unique.where(F.when(F.col("n") > 1, again).otherwise(F.lit(True)))
+    s = unique.select("row.*").unionByName(rows.where(~known).select(*columns)).withColumn("__s", F.lit(True))
+    both = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
+    j = target.withColumn("__t", F.lit(True)).alias("t").join(s.alias("s"), both, "full")
+    old, new = F.col("__t").isNotNull(), F.col("__s").isNotNull()
+    changed = {c: F.col(f"t.{c}") if not update else F.col(f"s.{c}") if values is None else values.get(c, F.col(f"t.{c}")) for c in columns}
+    if returning:
+        j = j.where(new if update else new & ~old)
+    return j.select(*(F.when(old & new, changed[c]).when(new, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) for c in columns))
 
 
 def update(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
@@ -128,7 +147,23 @@ def tenant_view(df: DataFrame, column: str, tenant) -> DataFrame:
     return df.where(F.col(column) == F.lit(tenant))
 
 
+def ranked(df: DataFrame, name: str, by: list[Column]) -> DataFrame:
+    """df with its rows' numbers from 1 in an order, by ranges: numbers within a range, and the counts of the ranges before it.
+
+    Which range a row is in is written down, as ranges come from a sample.
+    """
+    spark = df.sparkSession
+    rows = Workspace(spark, "ranked").table(df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__range", before.alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
+    return rows.withColumn("__local", local).join(F.broadcast(offsets), "__range").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__local")).alias(name))
+
+
 def numbered(df: DataFrame, name: str, start: int = 1, step: int = 1, by: list[Column] | None = None) -> DataFrame:
-    """A sequence's values, gap-free in an order (which needs one task), or by partition and place without one."""
-    n = F.row_number().over(Window.orderBy(*by)) - 1 if by else F.monotonically_increasing_id()
-    return df.withColumn(name, (n * step + start).cast("long"))
+    """A sequence's values, gap-free in an order, or by partition and place without one."""
+    if by:
+        return ranked(df, name, by).withColumn(name, ((F.col(name) - 1) * step + start).cast("long"))
+    return df.withColumn(name, (F.monotonically_increasing_id() * step + start).cast("long"))
+

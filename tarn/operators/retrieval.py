@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.search import DISTANCES
+from tarn.operators.relational import ranked
 from tarn.workspace import Workspace
 
 #: Fixed values of the score.
@@ -52,7 +53,7 @@ def hybrid_search(df: DataFrame, key: str, text: str, query: str, vector: str, p
     """key, score, bm25 and similarity of the k best rows; ties go to the smaller key.
 
     weighted: the weighted sum of BM25 and of 1 / (1 + distance). rrf: the sum of weight / (60 + rank); a row that matches no
-    term has no text rank. Ranks come from the whole set, in an order by score and key, so rrf sorts it.
+    term has no text rank. Ranks come from the whole set, in an order by score and key, so rrf sorts it, by ranges.
     """
     q = F.array(*(F.lit(float(x)) for x in probe))
     distance = DISTANCES[metric](F.col(vector), q)
@@ -62,8 +63,7 @@ def hybrid_search(df: DataFrame, key: str, text: str, query: str, vector: str, p
         score = weights[0] * F.coalesce("bm25", F.lit(0.0)) + weights[1] * F.coalesce("similarity", F.lit(0.0))
     elif fusion == "rrf":
         for c in ("bm25", "similarity"):
-            rank = F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), key))
-            rows = rows.withColumn(f"{c}_rank", F.when(F.col(c).isNotNull(), rank))
+            rows = ranked(rows, f"{c}_rank", [F.col(c).desc_nulls_last(), F.col(key)]).withColumn(f"{c}_rank", F.when(F.col(c).isNotNull(), F.col(f"{c}_rank")))
         part = lambda c, w: F.coalesce(w / (RRF + F.col(f"{c}_rank")), F.lit(0.0))
         score = part("bm25", weights[0]) + part("similarity", weights[1])
     else:

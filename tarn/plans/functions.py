@@ -124,15 +124,8 @@ def date_time(spark, sf_dir):
 
 
 @query("fn_age", """
-SELECT o_orderkey, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '1999-03-31 00:00:00', o_orderdate) AS a FROM orders WHERE day(o_orderdate) <= 28)""")
-def age(spark, sf_dir):
-    a = temporal.age(F.lit("1999-03-31").cast("timestamp"), F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") <= 28).select("o_orderkey", a["months"].cast("long").alias("months"), a["days"].cast("long").alias("days"))
-
-
-@query("fn_age_all_days", """
 SELECT o_orderkey, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '1999-03-31 00:00:00', o_orderdate) AS a FROM orders)""")
-def age_all_days(spark, sf_dir):
+def age(spark, sf_dir):
     a = temporal.age(F.lit("1999-03-31").cast("timestamp"), F.col("o_orderdate"))
     return table(spark, sf_dir, "orders").select("o_orderkey", a["months"].cast("long").alias("months"), a["days"].cast("long").alias("days"))
 
@@ -248,11 +241,6 @@ def ranges(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.range_contains(fixed, size).alias("c"), c.range_overlaps(fixed, own).alias("o"), c.range_contains_range(fixed, own).alias("cr"), c.box_contains_point(b, c.point(size, F.col("p_retailprice"))).alias("b"))
 
 
-@query("fn_misc", "SELECT s_suppkey, CASE WHEN s_suppkey * 1000 >= 10240 THEN round(s_suppkey * 1000 / 1024.0)::BIGINT || ' kB' ELSE s_suppkey * 1000 || ' bytes' END AS z, 36 AS u FROM supplier WHERE s_suppkey < 10000")
+@query("fn_misc", "SELECT s_suppkey, CASE WHEN n >= 10 * 1024.0 ** 3 THEN round(n / 1024.0 ** 3)::BIGINT || ' GB' WHEN n >= 10 * 1024.0 ** 2 THEN round(n / 1024.0 ** 2)::BIGINT || ' MB' WHEN n >= 10240 THEN round(n / 1024.0)::BIGINT || ' kB' ELSE n || ' bytes' END AS z, 36 AS u FROM (SELECT s_suppkey, s_suppkey * 1000 AS n FROM supplier) q")
 def misc(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 10000").select("s_suppkey", scalar.size_pretty(F.col("s_suppkey") * 1000).alias("z"), F.length(F.expr("uuid()")).alias("u"))
-
-
-@query("fn_misc_whole", "SELECT s_suppkey, CASE WHEN n >= 10 * 1024.0 ** 3 THEN round(n / 1024.0 ** 3)::BIGINT || ' GB' WHEN n >= 10 * 1024.0 ** 2 THEN round(n / 1024.0 ** 2)::BIGINT || ' MB' WHEN n >= 10240 THEN round(n / 1024.0)::BIGINT || ' kB' ELSE n || ' bytes' END AS z, 36 AS u FROM (SELECT s_suppkey, s_suppkey * 1000 AS n FROM supplier) q")
-def misc_whole(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.size_pretty(F.col("s_suppkey") * 1000).alias("z"), F.length(F.expr("uuid()")).alias("u"))

@@ -99,6 +99,23 @@ def json_table(spark, sf_dir):
     return files.json_table(rows, "doc", "$.items[*]", [("i", "ordinality"), ("k", "int", "$.k"), ("there", "exists", "$.k"), ("gone", "exists", "$.z")]).drop("doc")
 
 
+@query("source_json_table_rows", "SELECT n_nationkey, u.i::BIGINT AS i, CASE WHEN u.i = 1 THEN n_name END AS name FROM nation, (SELECT unnest(range(1, 4)) AS i) u WHERE u.i <= n_nationkey % 4")
+def json_table_rows(spark, sf_dir):
+    """From none to three rows a document; members are absent from all but the first, and a quarter of the documents have no list."""
+    items = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_nationkey") % 4)), lambda i: F.when(i == 1, F.concat(F.lit('{"name": "'), "n_name", F.lit('"}'))).otherwise(F.lit("{}")))
+    doc = F.when(F.col("n_nationkey") % 4 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"l": ['), F.array_join(items, ", "), F.lit("]}")))
+    return files.json_table(table(spark, sf_dir, "nation").select("n_nationkey", doc.alias("doc")), "doc", "$.l[*]", [("i", "ordinality"), ("name", "string", "$.name")]).drop("doc")
+
+
+@query("source_xml_table_rows", "SELECT n_nationkey, u.i::INTEGER AS i, CASE WHEN u.i % 2 = 0 THEN n_name ELSE 'none' END AS name FROM nation, (SELECT unnest(range(1, 4)) AS i) u WHERE u.i <= n_nationkey % 4")
+def xml_table_rows(spark, sf_dir):
+    """From none to three elements a document, of which only the second has a name."""
+    row = lambda i: F.concat(F.lit('<n i="'), i.cast("string"), F.when(i % 2 == 0, F.concat(F.lit('"><name>'), "n_name", F.lit("</name></n>"))).otherwise(F.lit('"/>')))
+    items = F.when(F.col("n_nationkey") % 4 == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_nationkey") % 4)), row), ""))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("<l>"), items, F.lit("</l>")).alias("doc"))
+    return files.xml_table(rows, "doc", "/l/n", [("i", "int", "@i", None), ("name", "string", "name", "none")]).drop("doc")
+
+
 @query("source_xml_table", "SELECT n_nationkey, n_name AS name, n_regionkey AS region, 'none' AS missing FROM nation")
 def xml_table(spark, sf_dir):
     doc = F.concat(F.lit("<l><n><name>"), "n_name", F.lit("</name><r>"), "n_regionkey", F.lit("</r></n></l>"))

@@ -6,7 +6,9 @@ import csv
 import io
 import json
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,10 +182,10 @@ def read_iceberg(spark: SparkSession, table_path: str, snapshot_id: int | None =
 def json_table(df: DataFrame, doc: str, rows_path: str, columns: list[tuple]) -> DataFrame:
     """df's columns and those of JSON_TABLE. columns: (name, "ordinality"), (name, type, path) or (name, "exists", path).
 
-    rows_path and paths are plain: $, members and [*] at the rows' end.
+    rows_path and paths are plain: $, members and [*] at the rows' end. A document without rows_path gives no rows.
     """
-    plain = rows_path.removesuffix("[*]")
-    items = F.from_json(F.get_json_object(doc, plain), "array<string>") if rows_path.endswith("[*]") else F.array(F.get_json_object(doc, plain))
+    found = F.get_json_object(doc, rows_path.removesuffix("[*]"))
+    items = F.from_json(found, "array<string>") if rows_path.endswith("[*]") else F.when(found.isNotNull(), F.array(found))
     out = df.select("*", F.posexplode(items).alias("__i", "__item"))
     made = []
     for c in columns:
@@ -196,16 +198,46 @@ def json_table(df: DataFrame, doc: str, rows_path: str, columns: list[tuple]) ->
     return out.select(*df.columns, *made)
 
 
+def xml_value(element: ElementTree.Element, path: str) -> str | None:
+    """The first value at a path from an element: texts (text() or the path of an element) or an attribute (@name); null if there is none."""
+    path, _, last = path.rpartition("/")
+    if last == "text()" or last.startswith("@"):
+        found = element.find(path) if path else element
+    else:
+        found = element.find(f"{path}/{last}" if path else last)
+    if found is None:
+        return None
+    if last.startswith("@"):
+        return found.get(last[1:])
+    return found.text if last == "text()" else "".join(found.itertext())
+
+
+def xml_rows(text: str | None, row: str, paths: list[str]) -> list[list[str | None]]:
+    """The values of each element at the absolute path row."""
+    if text is None:
+        return []
+    above = ElementTree.Element("above")
+    above.append(ElementTree.fromstring(text))
+    return [[xml_value(e, p) for p in paths] for e in above.findall(f".{row}")]
+
+
 def xml_table(df: DataFrame, doc: str, row: str, columns: list[tuple[str, str, str, object]]) -> DataFrame:
-    """df's columns and those of XMLTABLE. columns: (name, type, path, default); row: the path of elements with a name of their own.
+    """df's columns and those of XMLTABLE. columns: (name, type, path, default); row: an absolute path of elements.
 
-    Each column is a list of the document's values by path, taken at the row's number.
+    Paths are evaluated for each row element, in the language of ElementTree with text() or @name at the end. A document
+    without such elements, and a null one, gives no rows; a malformed one is an error.
     """
-    out = df.select("*", F.posexplode(F.sequence(F.lit(1), F.xpath_int(doc, F.lit(f"count({row})")))).alias("__p", "__n")).where("__n >= 1 AND __p >= 0")
+    ship(df.sparkSession)
+    paths = [c[2] for c in columns]
+
+    @F.pandas_udf("array<array<string>>")
+    def rows(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda d: xml_rows(d, row, paths))
+
+    out = df.select("*", F.explode(rows(doc)).alias("__row"))
     made = []
-    for name, kind, path, default in columns:
-        value = F.get(F.xpath(F.col(doc), F.lit(f"{row}/{path}")), F.col("__p"))
-        value = value.cast(kind)
+    for i, (name, kind, _, default) in enumerate(columns):
+        value = F.get("__row", F.lit(i)).cast(kind)
         made.append((value if default is None else F.coalesce(value, F.lit(default).cast(kind))).alias(name))
     return out.select(*df.columns, *made)
 
