@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Workspace, held, same_row, ship, small
+from tarn.llm.common import BROADCAST_ROWS, Workspace, held, same_row, ship, small
 from tarn.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Index entries are grouped in so many passes, each over a share of the keys, so that a pass's shuffle files can go before the next.
 PASSES = 4
+#: Keys or pairs of nodes, of which up to so many are broadcast: at most 16 bytes each.
+NARROW_ROWS = 4 * BROADCAST_ROWS
 #: Members with at most so many times the differences of similar sets are near their hub.
 NEAR = 2
 #: Of the cost of an allocation: what a segment that two unlike sets share costs, and how likely one more shingle in common is.
@@ -218,9 +220,14 @@ def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """The pairs (a, b) of nodes, a written table, compared. b's sets meet the pairs first, then travel to a's."""
-    a_only = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
+    """The pairs (a, b) of nodes, a written table, compared. b's sets meet the pairs first, then travel to a's.
+
+    Pairs are two numbers: where they are counted to be few enough, they are sent to the sets, and sets move once.
+    """
+    few = pairs.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS
+    sent = F.broadcast if few else lambda df: df
+    a_only = sets.join(sent(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(sent(pairs), "b")
     out = "a bigint, b bigint, similar boolean" + (", n bigint, added bigint, lacking bigint, near boolean, adds array<bigint>, lacks array<bigint>" if differences else "")
     return one.join(a_only, "a").select("a", "b", "sa", "sb").mapInArrow(_compare(percent, differences), out)
 
@@ -232,7 +239,7 @@ def shared_entries(ws: Workspace, indexed: DataFrame) -> DataFrame:
     for i in range(PASSES):
         some = entries.where(F.pmod("key", F.lit(PASSES)) == i)
         groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
-        parts.append(ws.table(some.join(groups, "key").distinct(), "entries"))
+        parts.append(ws.table(some.join(small(groups, NARROW_ROWS), "key").distinct(), "entries"))
         ws.drop(groups)
         ws.sweep()
     return reduce(DataFrame.unionAll, parts)
