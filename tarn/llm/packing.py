@@ -248,5 +248,6 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
         rows += packer.flush()
         if rows:
             yield out(rows)
+        packer.tok.chunks.clear()  # a worker that is used again by other operators doesn't hold what this task learned
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
