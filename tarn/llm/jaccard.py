@@ -241,7 +241,6 @@ def shared_entries(ws: Workspace, indexed: DataFrame) -> DataFrame:
         groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
         parts.append(ws.table(some.join(small(groups, NARROW_ROWS), "key").distinct(), "entries"))
         ws.drop(groups)
-        ws.sweep()
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -342,6 +341,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "jaccard")
+    ws.sweep()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     indexed = ws.table(keyed.mapInArrow(_index(shingle, percent), f"doc_id {kind}, text_key bigint, n bigint, node bigint, node2 bigint, keys array<bigint>"), "indexed")
@@ -350,7 +350,6 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     ws.drop(indexed)
     stars = ws.table(with_hubs(shared), "stars")
     sets = node_sets(ws, keyed, rows, stars.select("node").distinct(), shingle)
-    ws.sweep()
     links, labels = verified_links(ws, stars, sets, percent)
     ws.drop(sets)
     # a node without links is a component by both of its numbers

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go when it ends, rather than whenever the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset in local mode, as in tests, a temporary one."""
@@ -56,8 +59,13 @@ class Workspace:
         return f"{self.base}/{self.n:03d}-{name}"
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        """df, written. Its plan runs this once, so Spark deletes its shuffle files as soon as the table is there."""
+        path, before = self.path(name), self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._tarn_keep = self  # ids stay unique while the frame lives
@@ -68,7 +76,7 @@ class Workspace:
             delete(self.spark, path)
 
     def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of plans that have run."""
+        """Lets Spark delete the shuffle files that plans of others have left; those of tables go by themselves."""
         for _ in range(2):  # what the first leaves free in Python, the second finds in the JVM
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()

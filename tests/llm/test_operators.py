@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import timeit
 import zlib
 
@@ -581,6 +582,20 @@ def test_components(spark):
     assert got == {x: u.find(x) for x in list(u)}
 
 
+# Workspace -----------------------------------------------------------------------------------------------------------------
+def test_tables_leave_no_shuffle_files(spark):
+    """They would lie on the executors' disks until the driver's garbage is collected."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if f.endswith(".data")}
+    before, ws = files(), Workspace(spark, "test")
+    counted = ws.table(spark.range(1000).groupBy(F.col("id") % 10).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert counted.count() == 10
+
+
 # All -----------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["odd", "none"])
 def test_edge_cases(spark, name, request):
