@@ -11,10 +11,11 @@ connected group, the first occurrence, by doc_id (null first), text hash and lin
 SimHashes are made of what is joined alone and spare the edit distance of lines that are far apart; blocks of SimHashes
 themselves find few of the pairs (the README has the measured recall).
 
-Members of a key are not paired with one another. They are compared with a hub, links are joined into components, and keys whose
-members are then in more than one component take HUBS times as many hubs as before: members that were none yet, of the components
+Members of a key are first compared with a hub, and links are joined into components. A hub, which has met all others, leaves its
+key, and keys whose members are then in more than one component take HUBS times as many hubs as before, of the components
 with fewest members of the key first, so that a few members that are apart are compared with all the others. A hub is
-compared with members of other components alone, and no pair twice. Rounds end when one links nothing.
+compared with members of other components alone, and no pair twice. When a round links nothing, or few pairs are left, all
+that is left is compared at once: in the end, any two members of a key are in one component or have been compared.
 
 Lines without letters or digits stay. Null texts have no lines and stay null; a text all of whose lines go becomes empty.
 Rows with the same id and text are one document to this operator: all of them keep the same lines. Columns besides the id
@@ -40,6 +41,12 @@ SHORT = 24
 PIECES = (256, 2048)
 #: By so much the hubs of a key grow from round to round.
 HUBS = 4
+#: Narrow rows, of which up to so many are broadcast.
+NARROW_ROWS = 4 * BROADCAST_ROWS
+#: Pairs left are few if they are at most so many times the entries left.
+FEW_PAIRS = 4
+#: Keys are grouped in so many passes, each over a share of them, so that a pass's shuffle files can go before the next.
+PASSES = 4
 LANE = BITS // LANES
 PART = (1 << LANE - 1) - 1
 #: A sketch's order is that of the exclusive or of a pair's hash with one of these, which are spread evenly.
@@ -118,14 +125,31 @@ def _as_long(a: str, b: str) -> Column:
 
 
 def linked(pairs: DataFrame, norms: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose SimHashes are near and whose normal forms are alike. norms: node, norm and simhash."""
-    one = pairs.join(norms.select(F.col("node").alias("a"), F.col("simhash").alias("sa")), "a").join(norms.select(F.col("node").alias("b"), F.col("simhash").alias("sb")), "b")
-    near = one.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MAX_BITS).select("a", "b")
-    two = near.join(norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+    """The pairs (a, b), a written table, whose normal forms are alike. norms: node and norm.
+
+    Where pairs are counted to be few enough, they are sent to the normal forms, and only the forms they name move.
+    """
+    x, y = norms.select(F.col("node").alias("a"), F.col("norm").alias("x")), norms.select(F.col("node").alias("b"), F.col("norm").alias("y"))
+    few = pairs.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS
+    if few:
+        y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    two = x.join(F.broadcast(pairs) if few else pairs, "a").join(y, "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    # dealt evenly, as edit distances take far longer than the size of rows tells
-    two = two.withColumn("most", most).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return two.where(alike("x", "y", "most")).select("a", "b")
+    return two.withColumn("most", most).where(alike("x", "y", "most")).select("a", "b")
+
+
+def core(x: str, y: str) -> str:
+    """A struct of x and y without most of what they begin and end with in common; their edit distance is the same.
+
+    Halves, quarters and so on of the shorter one are taken off as long as they are equal.
+    """
+    size = lambda a, b: f"least(length({a}), length({b}))"
+    part = lambda s, f: f"substring({s}, at + 1, {size(x, y)} div {f})"
+    head = f"aggregate(array(2, 4, 8, 16, 32, 64), 0, (at, f) -> at + CASE WHEN {part(x, 'f')} = {part(y, 'f')} THEN int({size(x, y)} div f) ELSE 0 END)"
+    cut = f"transform(array({head}), n -> struct(substring({x}, n + 1) AS x, substring({y}, n + 1) AS y))[0]"
+    end = lambda s: f"substring(r.{s}, length(r.{s}) - at - int({size('r.x', 'r.y')} div f) + 1, int({size('r.x', 'r.y')} div f))"
+    tail = f"aggregate(array(2, 4, 8, 16, 32, 64), 0, (at, f) -> at + CASE WHEN {end('x')} = {end('y')} THEN int({size('r.x', 'r.y')} div f) ELSE 0 END)"
+    return f"transform(array({cut}), r -> transform(array({tail}), n -> struct(substring(r.x, 1, length(r.x) - n) AS x, substring(r.y, 1, length(r.y) - n) AS y))[0])[0]"
 
 
 def alike(x: str, y: str, most: str) -> Column:
@@ -133,7 +157,13 @@ def alike(x: str, y: str, most: str) -> Column:
 
     The distance takes time in the square of a length. Cut into as many pieces, the pieces' distances sum to no less than it,
     so a sum within the bound decides; only pairs that are not decided so, in any of PIECES, are compared as wholes.
+    Before that, cores are taken, and their beginnings and ends: where wholes have an edit distance of d and lengths that
+    differ by n, equally long beginnings, and ends, have one of at most d + n, and less is compared.
     """
+    both, x, y = core(x, y), "c.x", "c.y"
+    apart = f"({most} + abs(length({x}) - length({y})))"
+    far_apart = [f"levenshtein({end}({x}, 2 * {apart} + 16), {end}({y}, 2 * {apart} + 16), {apart}) < 0" for end in ("left", "right")]
+    far_apart = f"least(length({x}), length({y})) > 4 * {apart} + 32 AND ({' OR '.join(far_apart)})"
     whole = f"levenshtein({x}, {y}, {most}) >= 0"
     tries = []
     for n in PIECES:
@@ -143,57 +173,84 @@ def alike(x: str, y: str, most: str) -> Column:
         one = f"levenshtein({piece(x)}, {piece(y)}, {n // 4})"
         total = f"aggregate(sequence(0, int({k}) - 1), 0L, (sum, i) -> sum + CASE WHEN sum > {most} THEN 0 ELSE pmod({one}, {far + 1}) END)"
         tries.append(f"(greatest(length({x}), length({y})) > {2 * n} AND {total} <= {most})")
-    return F.expr(" OR ".join([*tries, whole]))
+    decided = f"CASE WHEN abs(length({x}) - length({y})) > {most} OR {far_apart} THEN false ELSE {' OR '.join([*tries, whole])} END"
+    return F.expr(f"transform(array({both}), c -> {decided})[0]")
 
 
 def norms_of(ws: Workspace, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, norm and simhash of nodes (node, first), from their first occurrences."""
+    """node and norm of nodes (node, first), from their first occurrences."""
     where = ws.table(nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("tk"), F.col("first.line_no").alias("no")), "first")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(small(where, 4 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")))
-    norms = ws.table(texts.select("node", normalised(F.split("text", "\n")[F.col("no")]).alias("norm")).dropDuplicates(["node"]), "norm-texts")
-    return ws.table(norms.join(simhashes(norms), "node"), "norms")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = cut.join(small(where, NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tk")) & (F.col("line_no") == F.col("no")))
+    return ws.table(texts.select("node", "line").dropDuplicates(["node"]).select("node", normalised(F.col("line")).alias("norm")), "norms")
 
 
 def shared_keys(ws: Workspace, classes: DataFrame) -> DataFrame:
     """key, node, chars of the keys that more than one class has."""
     entries = classes.select("node", "chars", F.explode(join_keys()).alias("key"))
-    groups = ws.table(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
-    members = ws.table(entries.join(small(groups, 4 * BROADCAST_ROWS), "key"), "members")
-    ws.drop(groups)
-    return members
+    parts = []
+    for i in range(PASSES):
+        some = entries.where(F.pmod("key", F.lit(PASSES)) == i)
+        groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
+        parts.append(ws.table(some.join(small(groups, NARROW_ROWS), "key"), "members"))
+        ws.drop(groups)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def hubs_of(known: DataFrame, most: int) -> DataFrame:
-    """key, hub, hub_chars and hub_label: of each key at most so many members that were no hubs yet, those of small components first."""
-    sizes = known.groupBy("key", "label").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("key").orderBy("size", F.xxhash64("node"), "node")
-    fresh = known.where("NOT was_hub").join(sizes, ["key", "label"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return fresh.select("key", F.col("node").alias("hub"), F.col("chars").alias("hub_chars"), F.col("label").alias("hub_label"))
-
-
-def links_by_rounds(ws: Workspace, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of classes and the components' labels (node, label); see the module's account of hubs."""
-    members = shared_keys(ws, classes)
-    norms = norms_of(ws, docs, classes.select("node", "first").join(members.select("node").distinct(), "node", "left_semi"))
-    known = members.select("key", "node", "chars", F.col("node").alias("label"), F.lit(False).alias("was_hub"))
-    links = tried = labels = None
-    most = 1
-    while labels is None or not known.isEmpty():
-        hubs = ws.table(hubs_of(known, most), "hubs")
+    """key, hub, hub_chars, hub_label and hub_simhash: of each key at most so many members, those of small components first."""
+    size = F.lit(1)
+    if most > 1:  # before the first round, each member is a component
+        known, size = known.join(known.groupBy("key", "label").agg(F.count("*").alias("size")), ["key", "label"]), F.col("size")
+    order = Window.partitionBy("key").orderBy(size, F.xxhash64("node"), "node")
+    return as_hubs(known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most))
+
+
+def as_hubs(known: DataFrame) -> DataFrame:
+    return known.select("key", F.col("node").alias("hub"), F.col("chars").alias("hub_chars"), F.col("label").alias("hub_label"), F.col("simhash").alias("hub_simhash"))
+
+
+def merged(ws: Workspace, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and label of components, after further links (a, b): the components they join are joined."""
+    if labels is None:
+        return components(ws, links)
+    known = small(labels, NARROW_ROWS)
+    ends = links.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left")
+    new = components(ws, ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    moved = labels.join(small(new, NARROW_ROWS).toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return ws.table(moved.unionAll(new.join(known, "node", "left_anti").select("node", "label")), "merged")
+
+
+def labels_by_rounds(ws: Workspace, members: DataFrame, norms: DataFrame) -> DataFrame:
+    """Components' labels (node, label) of the links among members (key, node, chars, simhash); see the module's account of hubs."""
+    known = ws.table(members.withColumn("label", F.col("node")), "known")
+    tried, labels, most = None, None, 1
+    while True:
+        hubs = ws.table(hubs_of(known, most), "hubs") if most else as_hubs(known)
         pairs = known.join(hubs, "key").where("label <> hub_label").where(F.least("chars", "hub_chars") >= F.greatest("chars", "hub_chars") * MIN_SIMILARITY)
+        pairs = pairs.where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("hub_simhash"))) <= MAX_BITS)
+        if not most:
+            pairs = pairs.where("node < hub")  # each of them is a hub to the other
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         pairs = ws.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = ws.table(linked(pairs, norms), "links")
-        last = labels is not None and found.isEmpty()
-        links, tried = (found, pairs) if links is None else (links.unionAll(found), tried.unionAll(pairs))
-        if last:
-            break
-        labels = components(ws, links)
-        again = known.drop("label").join(hubs.select("key", F.col("hub").alias("node"), F.lit(True).alias("now")), ["key", "node"], "left").join(labels, "node", "left")
-        again = again.select("key", "node", "chars", F.coalesce("label", "node").alias("label"), (F.col("was_hub") | F.coalesce("now", F.lit(False))).alias("was_hub"))
-        mixed = again.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        known, most = ws.table(again.join(mixed, "key"), "mixed"), most * HUBS
-    return links, labels
+        tried, linking = pairs if tried is None else tried.unionAll(pairs), not found.isEmpty()
+        if linking or labels is None:
+            labels = merged(ws, labels, found)
+        if not most:
+            return labels
+        rest = known.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        if linking:
+            rest = rest.withColumnRenamed("label", "own").join(small(labels, NARROW_ROWS), "node", "left").withColumn("label", F.coalesce("label", "own")).drop("own")
+        rest = ws.table(rest.select("key", "node", "chars", "simhash", "label"), "rest")
+        mixed = ws.table(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "mixed")
+        left = mixed.agg(F.sum("n").alias("entries"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+        if not left.entries:
+            return labels
+        ws.drop(known)
+        known = ws.table(rest.join(small(mixed.select("key"), NARROW_ROWS), "key"), "known")
+        ws.drop(rest)
+        most = most * HUBS if linking and left.pairs > FEW_PAIRS * left.entries else 0
 
 
 def occurrences_to_drop(docs: DataFrame) -> DataFrame:
@@ -203,7 +260,9 @@ def occurrences_to_drop(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_key", "line_no")
     classes = rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("chars", *SKETCH, *HALF)))
     classes = ws.table(classes.withColumn("node", F.col("k1")), "classes")
-    links, labels = links_by_rounds(ws, docs, classes)
+    members = shared_keys(ws, classes)
+    norms = norms_of(ws, docs, classes.select("node", "first").join(members.select("node").distinct(), "node", "left_semi"))
+    labels = labels_by_rounds(ws, members.join(simhashes(norms), "node"), norms)
     # classes that are more than one line, and the first line of their groups
     grouped = classes.join(labels, "node", "left").where("n > 1 OR label IS NOT NULL")
     grouped = grouped.select("k1", "k2", "first", F.coalesce("label", "k1").alias("g1"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"))

@@ -560,6 +560,35 @@ def test_hot_key_of_lines_that_are_not_alike(spark):
     assert got == {1000, 1001, 1002, 2000, 2001}
 
 
+def test_hot_key_is_compared_to_its_end(spark):
+    """Lines that share one half, and pairs among them that have no other key in common: the first hubs of that key link nothing."""
+    rng = random.Random(45)
+    start = [f"s{i}" for i in range(10)]
+    rows = []
+    for i in range(300):
+        words = [f"word{rng.randrange(10**6)}" for _ in range(10)]
+        other = [w[:-1] + "x" if j % 3 == 0 else w for j, w in enumerate(words)]
+        rows += [(i, " ".join(start + words)), (1000 + i, " ".join(start + other))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = lines.lines_of(df)
+    keys = {r.doc_id: set(r.k) for r in lines.sketched(cut).select("doc_id", lines.join_keys().alias("k")).collect()}
+    hashed = {r.node: r.simhash for r in lines.simhashes(cut.select(F.col("doc_id").alias("node"), "norm")).collect()}
+    hot = set.intersection(*keys.values())
+    near = {i for i in range(300) if keys[i] & keys[1000 + i] == hot and (hashed[i] ^ hashed[1000 + i]).bit_count() <= lines.MAX_BITS}
+    assert hot and len(near) > 2
+    near = sorted(near)[:2]
+    got = {r.doc_id for r in lines.occurrences_to_drop(df.where(F.col("doc_id").isin(*near, *(1000 + i for i in near)) | (F.col("doc_id") < 300))).collect()}
+    assert got == {1000 + i for i in near}
+
+
+def test_cores_keep_distances(spark):
+    """Of equal strings, empty ones, and strings that overlap themselves."""
+    rows = [("", ""), ("a", ""), ("ab", "ab"), ("aaaa", "aa"), ("abcabcabc", "abcabc"), ("same start x same end", "same start yy same end"), ("xäöy" * 40, "xäöy" * 20 + "ö" + "xäöy" * 20)]
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("c", F.expr(lines.core("x", "y")))
+    for r in df.select("*", F.expr("levenshtein(x, y)").alias("far"), F.expr("levenshtein(c.x, c.y)").alias("core")).collect():
+        assert r.core == r.far
+
+
 def test_clean_keeps_first_lines(spark, odd):
     df = spark.createDataFrame([(1, "Hello there\n\nunique one\nhello, THERE!"), (2, "hello there"), (3, None)], "doc_id bigint, text string").withColumn("dropped", F.lit("clash")).withColumn("id", F.lit(0))
     got = lines.clean(df.drop("dropped"))
