@@ -14,7 +14,8 @@ themselves find few of the pairs (the README has the measured recall).
 Members of a key are first compared with a hub, and links are joined into components. A hub, which has met all others, leaves its
 key, and keys whose members are then in more than one component take HUBS times as many hubs as before, of the components
 with fewest members of the key first, so that a few members that are apart are compared with all the others. A hub is
-compared with members of other components alone, and no pair twice. When a round links nothing, or few pairs are left, all
+compared with members of other components alone, and no pair twice. Of a round's pairs, those that bounds on the edit distance
+decide are linked first; the others are compared as wholes if they are still in different components. When a round links nothing, or few pairs are left, all
 that is left is compared at once: in the end, any two members of a key are in one component or have been compared.
 
 Lines without letters or digits stay. Null texts have no lines and stay null; a text all of whose lines go becomes empty.
@@ -37,8 +38,10 @@ BITS, LANES, MAX_BITS, MIN_SIMILARITY = 60, 4, 20, 0.9
 SKETCHES, BLOCKS = 3, 4
 #: Lines of at most so many words are also joined on their halves.
 SHORT = 24
-#: Lengths of pieces in which long lines are compared first.
-PIECES = (256, 2048)
+#: Lines are first compared in chunks of so many characters, the longer ones for lines of more than LONG chunks, each with ANCHOR at its end looked for within SLACK.
+CHUNKS, LONG, ANCHOR, SLACK = (32, 256, 2048), 4, 8, 24
+#: Up to so many pairs that bounds leave open are compared without another look at their components.
+FEW_UNSURE = 5_000
 #: By so much the hubs of a key grow from round to round.
 HUBS = 4
 #: Narrow rows, of which up to so many are broadcast.
@@ -124,8 +127,8 @@ def _as_long(a: str, b: str) -> Column:
     return F.least(f"{a}.chars", f"{b}.chars") >= F.greatest(f"{a}.chars", f"{b}.chars") * MIN_SIMILARITY
 
 
-def linked(pairs: DataFrame, norms: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose normal forms are alike. norms: node and norm.
+def tested(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, with most and v: bounded() of their normal forms. norms: node and norm.
 
     Where pairs are counted to be few enough, they are sent to the normal forms, and only the forms they name move.
     """
@@ -135,7 +138,16 @@ def linked(pairs: DataFrame, norms: DataFrame) -> DataFrame:
         y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     two = x.join(F.broadcast(pairs) if few else pairs, "a").join(y, "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    return two.withColumn("most", most).where(alike("x", "y", "most")).select("a", "b")
+    return two.withColumn("most", most).select("a", "b", "most", F.expr(bounded("x", "y", "most")).alias("v"))
+
+
+def linked_wholes(unsure: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of tested() that bounds leave open and that are alike; of different components, where labels are given. Dealt out evenly, as each takes long."""
+    if labels is not None:
+        known = small(labels, NARROW_ROWS)
+        unsure = unsure.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    n = int(unsure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return unsure.select("a", "b", "most", "v.x", "v.y").repartition(n, "a", "b").where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
 def core(x: str, y: str) -> str:
@@ -152,29 +164,43 @@ def core(x: str, y: str) -> str:
     return f"transform(array({cut}), r -> transform(array({tail}), n -> struct(substring(r.x, 1, length(r.x) - n) AS x, substring(r.y, 1, length(r.y) - n) AS y))[0])[0]"
 
 
-def alike(x: str, y: str, most: str) -> Column:
-    """Whether the edit distance of x and y is at most `most`.
+def no_less(x: str, y: str, most: str, chunk: int) -> str:
+    """An upper bound on the edit distance of x and y in a time that grows with their length, or some number above `most`.
 
-    The distance takes time in the square of a length. Cut into as many pieces, the pieces' distances sum to no less than it,
-    so a sum within the bound decides; only pairs that are not decided so, in any of PIECES, are compared as wholes.
-    Before that, cores are taken, and their beginnings and ends: where wholes have an edit distance of d and lengths that
-    differ by n, equally long beginnings, and ends, have one of at most d + n, and less is compared.
+    x is cut into chunks. A chunk's last ANCHOR characters are looked for in y at most SLACK characters off where they should
+    be, and y is cut behind them; where they aren't found, the next chunk is taken with this one, and after eight of them y is
+    cut where x is. Distances of pieces of the same place sum to no less than that of the wholes.
+    """
+    end = f"(i * {chunk})"
+    distance = lambda a, b: f"transform(array(struct({a} AS a, {b} AS b)), r -> CASE WHEN r.a = r.b THEN 0 ELSE levenshtein(r.a, r.b) END)[0]"
+    found = f"locate(substring({x}, {end} - {ANCHOR - 1}, {ANCHOR}), substring({y}, s.py + 1, {end} - s.px + {SLACK}), greatest(1, {end} - s.px - {SLACK + ANCHOR}))"
+    taken = f"CASE WHEN q > 0 THEN q + {ANCHOR - 1} WHEN {end} - s.px >= 8 * {chunk} THEN {end} - s.px END"
+    piece = distance(f"substring({x}, s.px + 1, {end} - s.px)", f"substring({y}, s.py + 1, n)")
+    step = f"transform(array({found}), q -> transform(array({taken}), n -> CASE WHEN n IS NULL THEN s ELSE struct({end} AS px, s.py + n AS py, s.sum + {piece} AS sum) END)[0])[0]"
+    rest = distance(f"substring({x}, s.px + 1)", f"substring({y}, s.py + 1)")
+    start = "struct(0 AS px, 0 AS py, 0 AS sum)"
+    return f"aggregate(sequence(1, greatest(1, int(length({x}) / {chunk}))), {start}, (s, i) -> CASE WHEN s.sum > {most} OR {end} > length({x}) THEN s ELSE {step} END, s -> CASE WHEN s.sum > {most} THEN s.sum ELSE s.sum + {rest} END)"
+
+
+def bounded(x: str, y: str, most: str) -> str:
+    """A struct: near, whether the edit distance of x and y is at most `most`, or null where bounds don't say; then x and y, their cores.
+
+    Where wholes have an edit distance of d and lengths that differ by n, equally long beginnings, and ends, have one of at most
+    d + n, and less is compared; an upper bound that is within `most` decides as well.
     """
     both, x, y = core(x, y), "c.x", "c.y"
     apart = f"({most} + abs(length({x}) - length({y})))"
     far_apart = [f"levenshtein({end}({x}, 2 * {apart} + 16), {end}({y}, 2 * {apart} + 16), {apart}) < 0" for end in ("left", "right")]
-    far_apart = f"least(length({x}), length({y})) > 4 * {apart} + 32 AND ({' OR '.join(far_apart)})"
-    whole = f"levenshtein({x}, {y}, {most}) >= 0"
-    tries = []
-    for n in PIECES:
-        k = f"greatest(1, ceil(greatest(length({x}), length({y})) / {n}))"
-        piece = lambda s, k=k: f"substring({s}, int(1 + i * ceil(length({s}) / {k})), int(ceil(length({s}) / {k})))"
-        far = 1 << 20  # more than any bound on a piece; the -1 of pieces beyond theirs becomes this
-        one = f"levenshtein({piece(x)}, {piece(y)}, {n // 4})"
-        total = f"aggregate(sequence(0, int({k}) - 1), 0L, (sum, i) -> sum + CASE WHEN sum > {most} THEN 0 ELSE pmod({one}, {far + 1}) END)"
-        tries.append(f"(greatest(length({x}), length({y})) > {2 * n} AND {total} <= {most})")
-    decided = f"CASE WHEN abs(length({x}) - length({y})) > {most} OR {far_apart} THEN false ELSE {' OR '.join([*tries, whole])} END"
-    return F.expr(f"transform(array({both}), c -> {decided})[0]")
+    far_apart = f"least(length({x}), length({y})) > 4 * {apart} + {LONG * max(CHUNKS)} AND ({' OR '.join(far_apart)})"
+    within = " ".join(f"WHEN length({x}) >= {LONG * n if n > min(CHUNKS) else 0} AND {no_less(x, y, most, n)} <= {most} THEN true" for n in CHUNKS)
+    near = f"CASE WHEN abs(length({x}) - length({y})) > {most} THEN false {within} WHEN {far_apart} THEN false END"
+    open_ = lambda s: f"CASE WHEN near IS NULL THEN {s} END"
+    return f"transform(array({both}), c -> transform(array({near}), near -> struct(near, {open_(x)} AS x, {open_(y)} AS y))[0])[0]"
+
+
+def alike(x: str, y: str, most: str) -> Column:
+    """Whether the edit distance of x and y is at most `most`. It takes time in the square of a length, and is taken only where bounds leave it open."""
+    return F.expr(f"transform(array({bounded(x, y, most)}), v -> coalesce(v.near, levenshtein(v.x, v.y, {most}) >= 0))[0]")
 
 
 def norms_of(ws: Workspace, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -233,10 +259,17 @@ def labels_by_rounds(ws: Workspace, members: DataFrame, norms: DataFrame) -> Dat
             pairs = pairs.where("node < hub")  # each of them is a hub to the other
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         pairs = ws.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = ws.table(linked(pairs, norms), "links")
-        tried, linking = pairs if tried is None else tried.unionAll(pairs), not found.isEmpty()
-        if linking or labels is None:
-            labels = merged(ws, labels, found)
+        verdicts = ws.table(tested(pairs, norms), "tested")
+        found, unsure = verdicts.where("v.near").select("a", "b"), verdicts.where("v.near IS NULL")
+        tried, linking = pairs if tried is None else tried.unionAll(pairs), False
+        if many := unsure.limit(FEW_UNSURE + 1).count() > FEW_UNSURE:  # most of them are then within a component
+            linking = not found.isEmpty()
+            labels = merged(ws, labels, found) if linking or labels is None else labels
+        wholes = ws.table(linked_wholes(unsure, labels), "links")
+        found = wholes if many else found.unionAll(wholes)
+        if not found.isEmpty() or labels is None:
+            linking, labels = linking or not found.isEmpty(), merged(ws, labels, found)
+        ws.drop(verdicts)
         if not most:
             return labels
         rest = known.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
@@ -276,18 +309,25 @@ def dropped_by_doc(docs: DataFrame) -> DataFrame:
     return occurrences_to_drop(docs).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
+def drops_of(docs: DataFrame) -> DataFrame:
+    """dropped_by_doc() as a table; all others of this job are deleted."""
+    ws, opened = Workspace(docs.sparkSession, "drops"), Workspace.opened(docs.sparkSession)
+    drops = ws.table(dropped_by_doc(docs), "drops")
+    Workspace.close_since(docs.sparkSession, opened)
+    return drops
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and dropped (numbers of lines, comma-joined) of every row."""
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_lines.cast("long").alias("n_lines")).alias("r")
-    out = rows.join(dropped_by_doc(docs).alias("d"), same_row("r", "d"), "left")
+    out = rows.join(drops_of(docs).alias("d"), same_row("r", "d"), "left")
     return out.select("r.doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
 def clean(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """docs with the dropped lines taken out of text; all columns as they were. Without keep_emptied, documents go of which no letter or digit is left so."""
-    drops = Workspace(docs.sparkSession, "clean").table(dropped_by_doc(docs), "drops")
-    out = held(docs).alias("r").join(small(drops, 20_000).alias("d"), same_row("r", "d"), "left")
+    out = held(docs).alias("r").join(small(drops_of(docs), 20_000).alias("d"), same_row("r", "d"), "left")
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept)
     if not keep_emptied:

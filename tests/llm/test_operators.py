@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and edge cases."""
 
 import collections
+import glob
 import hashlib
 import random
 import re
@@ -550,6 +551,30 @@ def test_pieces_do_not_change_what_is_alike(spark):
         assert r.alike == (r.far <= r.most)
 
 
+def test_bounds_decide_most_that_is_alike(spark):
+    """Lines with words changed, added and removed all along, so that no piece keeps its place: decided without the distance of wholes."""
+    rng = random.Random(61)
+    rows = []
+    for n in (60, 300, 4000):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for _ in range(20):
+            rows.append((" ".join(words), " ".join(edited(words, rng, n // 25))))
+    df = spark.createDataFrame([(x, y, max(len(x), len(y)) // 10) for x, y in rows], "x string, y string, most int")
+    got = df.select(F.expr(lines.bounded("x", "y", "most")).alias("v"), F.expr("length(x) > 10000 OR levenshtein(x, y) <= most").alias("alike")).collect()
+    assert all(r.alike for r in got if r.v.near)
+    assert sum(bool(r.v.near) for r in got) >= 0.9 * len(got)
+
+
+def test_line_dedup_leaves_one_table(spark):
+    """What a job wrote for itself is gone when its result is there to be read."""
+    opened = Workspace.opened(spark)
+    df = spark.createDataFrame([(i, f"one line of many words that is much like others {i}\nsecond line") for i in range(6)], "doc_id bigint, text string")
+    out = lines.clean(df)
+    left = Workspace._all(spark)[opened:]
+    assert out.count() == 6
+    assert sum(len(glob.glob(f"{base.removeprefix('file://')}/*")) for base in left) == 1
+
+
 def test_hot_key_of_lines_that_are_not_alike(spark):
     """Lines that share all the keys of one half and are linked in two groups alone."""
     rng = random.Random(12)
