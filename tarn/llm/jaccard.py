@@ -5,8 +5,9 @@ symmetric difference is at most H agree in one of H + 1 segments, by the pigeonh
 that similar sets lie in one band or in neighbouring ones, and each band has a table with its own number of segments, which
 holds the sets of the band and, of the band below, those that are large enough. For each table an allocation is chosen by
 cost: a segment may be indexed by its subset of the set alone, which proves one difference where no other set has it, or by
-that subset and all of its one-deletion neighbours, which proves two. Empty subsets are not indexed, unless a set's other
-segments prove too little; a pair is then found from its other set, or both index theirs.
+that subset and all of its one-deletion neighbours, which proves two. Subsets of one shingle, which sets that are far apart
+often share, and empty ones are not indexed, unless a set's other segments prove too little; a pair is then found from its
+other set, or both index theirs.
 
 Pairs are not formed within a group that shares an index entry; each group has a hub, its member with most entries that others
 have as well. First each node is compared with one hub, the heaviest of its groups', and what is verified is joined into
@@ -106,8 +107,14 @@ class Bands:
             cost = (m - d) + d * (1 + s) + SHARED_COST * m * SHARED**s
             if best is None or cost < best[0]:
                 best = cost, m, d
-        m = best[1]
-        return m + int(np.ceil(2 * m * np.exp(-low / m))) * (m > 2), best[2]
+        m, d = best[1], best[2]
+        m += int(np.ceil(2 * m * np.exp(-low / m))) * (m > 2)
+        # more segments, until those of two or more shingles prove enough for most sets; a few large sets may still need others
+        for more in range(m, m + m // 4 + 1):
+            few = more * np.exp(-high / more) * (1 + high / more)
+            if more + d - few - 2 * np.sqrt(few) >= need:
+                return more, d
+        return m, d
 
     def tables(self, n: int) -> list[int]:
         band = self.of(n)
@@ -128,11 +135,14 @@ class Bands:
             sums, ids = np.add.reduceat(content, starts), segment[starts]
             sizes = np.diff(np.append(starts, n))
             deleting = ids < d
-            proven = np.where(deleting & (sizes > 1), 2, 1).sum()
             seed = np.uint64((band * 1_000_003) & 0xFFFFFFFF) << np.uint64(32)
-            out.append(mixed(mixed(ids + seed) + sums))
+            # single shingles, which unlike sets often share, are indexed only where larger subsets prove too little, and empty ones where all others do
+            least = 2 if np.where(deleting & (sizes > 2), 2, sizes > 1).sum() >= need else 1
+            proven = np.where(deleting & (sizes > 1), 2, 1).sum()
+            whole = sizes >= least
+            out.append(mixed(mixed(ids[whole] + seed) + sums[whole]))
             for j in np.flatnonzero(deleting):
-                if sizes[j] > 1 or proven < need:
+                if sizes[j] > least or proven < need:
                     part = content[starts[j] : starts[j] + sizes[j]]
                     out.append(mixed(mixed(ids[j] + seed) + (sums[j] - part)))
             if proven < need:
@@ -232,8 +242,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     return one.join(a_only, "a").select("a", "b", "sa", "sb").mapInArrow(_compare(percent, differences), out)
 
 
-def shared_entries(ws: Workspace, indexed: DataFrame) -> DataFrame:
-    """key and node of the index entries that more than one node has."""
+def shared_entries(ws: Workspace, indexed: DataFrame) -> list[DataFrame]:
+    """key and node of the index entries that more than one node has, as written tables."""
     entries = indexed.select("node", F.explode("keys").alias("key"))
     parts = []
     for i in range(PASSES):
@@ -241,7 +251,7 @@ def shared_entries(ws: Workspace, indexed: DataFrame) -> DataFrame:
         groups = ws.table(some.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "groups")
         parts.append(ws.table(some.join(small(groups, NARROW_ROWS), "key").distinct(), "entries"))
         ws.drop(groups)
-    return reduce(DataFrame.unionAll, parts)
+    return parts
 
 
 def with_hubs(shared: DataFrame) -> DataFrame:
@@ -348,7 +358,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     rows = ws.table(indexed.drop("keys"), "rows")
     shared = shared_entries(ws, indexed)
     ws.drop(indexed)
-    stars = ws.table(with_hubs(shared), "stars")
+    stars = ws.table(with_hubs(reduce(DataFrame.unionAll, shared)), "stars")
+    for t in shared:
+        ws.drop(t)
     sets = node_sets(ws, keyed, rows, stars.select("node").distinct(), shingle)
     links, labels = verified_links(ws, stars, sets, percent)
     ws.drop(sets)
@@ -373,16 +385,21 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     Documents without words stay. Rows with the same id and text as the one that stays are its repetitions and go as well.
     """
-    ws = Workspace(docs.sparkSession, "one-of-each")
+    spark = docs.sparkSession
+    ws, opened = Workspace(spark, "one-of-each"), Workspace.opened(spark)
     named, _ = jaccard_groups(docs, shingle, percent)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     named = ws.table(named.where("n > 0").select("doc_id", "text_key", "group", "group2", order.alias("o")), "named")
-    stay = named.groupBy("group", "group2").agg(F.min("o").alias("stay"), F.count("*").alias("rows")).where("rows > 1")
-    multiple = ws.table(named.join(small(ws.table(stay, "stay")), ["group", "group2"]).select("doc_id", "text_key", (F.col("o") == F.col("stay")).alias("stays")), "multiple")
+    Workspace.close_since(spark, opened)
+    stay = ws.table(named.groupBy("group", "group2").agg(F.min("o").alias("stay"), F.count("*").alias("rows")).where("rows > 1"), "stay")
+    multiple = ws.table(named.join(small(stay), ["group", "group2"]).select("doc_id", "text_key", (F.col("o") == F.col("stay")).alias("stays")), "multiple")
+    ws.drop(named)
     go = ws.table(multiple.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "go")
+    gone, again = ws.table(go.where("NOT stays OR times > 1"), "out"), ws.table(go.where("stays AND times > 1"), "again")
+    for t in (stay, multiple, go):
+        ws.drop(t)
     rows = held(docs).alias("r")
-    out = rows.join(small(ws.table(go.where("NOT stays OR times > 1"), "out")).alias("g"), same_row("r", "g"), "left_anti")
-    again = ws.table(go.where("stays AND times > 1"), "again")
+    out = rows.join(small(gone).alias("g"), same_row("r", "g"), "left_anti")
     if not again.isEmpty():
         out = out.unionAll(rows.join(small(again).alias("g"), same_row("r", "g"), "left_semi").dropDuplicates(["doc_id", "text_key"]))
     return out.select("row.*")

@@ -227,6 +227,21 @@ def test_mixture_repeats_rows(spark, odd):
     assert collections.Counter(r.doc_id for r in got.collect()) == collections.Counter({k: v for k, v in want.items() if v})
 
 
+def test_stages_leave_few_rows(spark, docs):
+    """Of their own tables, the Jaccard stage leaves two and the mix three; its rows to look up are far fewer than documents, so texts don't move."""
+    def left(stage):
+        mark = Workspace.opened(spark)
+        stage(docs)
+        found = {p.rpartition("/")[2].partition("-")[2]: p for base in Workspace._all(spark)[mark:] for p in glob.glob(f"{base.removeprefix('file://')}/*")}
+        rows = {k: spark.read.parquet(p).count() for k, p in found.items() if k == "copies"}
+        Workspace.close_since(spark, mark)
+        return set(found), rows
+
+    assert left(jaccard.one_of_each)[0] == {"out", "again"}
+    tables, rows = left(mixing.mixture)
+    assert tables == {"copies", "targets", "edges"} and rows["copies"] < docs.count() / 5
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------------
 def test_topk(spark):
     rng = np.random.default_rng(5)
@@ -319,6 +334,31 @@ def test_pigeonhole_covers_every_similar_pair():
                 assert len(np.intersect1d(bands.keys(s), bands.keys(t))), (n, len(t), common)
 
 
+def test_pigeonhole_covers_pairs_as_far_apart_as_links_may_be():
+    """Pairs at the threshold, of both settings, whether or not single shingles are indexed."""
+    rng = np.random.default_rng(7)
+    for percent in (80, 85):
+        bands = jaccard.Bands(percent)
+        for n in [*range(3, 60, 2), 113, 176, 277, 432, 600, 925, 1500]:
+            for _ in range(6):
+                s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+                most = bands.differences(len(s), len(s))
+                gone = rng.integers(0, most + 1)
+                t = np.unique(np.concatenate([rng.permutation(s)[gone:], rng.integers(0, 2**63, most - gone).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+                common = len(np.intersect1d(s, t))
+                if 100 * common >= percent * (len(s) + len(t) - common) and common < max(len(s), len(t)):
+                    assert len(np.intersect1d(bands.keys(s), bands.keys(t))), (percent, n, len(t), common)
+
+
+def test_sets_with_single_shingles_in_common_share_few_keys():
+    """Sets of 900 that share 2 % of their shingles with others: a subset of one shingle is no key where larger ones prove enough."""
+    rng = np.random.default_rng(8)
+    bands, pool = jaccard.Bands(80), rng.integers(0, 2**63, 2_000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rng.choice(pool, 18, replace=False), rng.integers(0, 2**63, 882).astype(np.uint64) * np.uint64(2)])) for _ in range(300)]
+    found = collections.Counter(k for s in sets for k in bands.keys(s).tolist())
+    assert sum(n for n in found.values() if n > 1) < 100
+
+
 def test_one_of_each(spark, odd):
     got = jaccard.one_of_each(odd)
     assert got.columns == odd.columns
