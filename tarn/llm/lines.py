@@ -236,6 +236,19 @@ def as_hubs(known: DataFrame) -> DataFrame:
     return known.select("key", F.col("node").alias("hub"), F.col("chars").alias("hub_chars"), F.col("label").alias("hub_label"), F.col("simhash").alias("hub_simhash"))
 
 
+def met(known: DataFrame, hubs: DataFrame, once: bool) -> DataFrame:
+    """Members (known) with hubs of their keys that may be alike. once: a member meets a hub at the least of the keys where it could.
+
+    In the first round, each key has one hub and few meet at two keys; later, members of frequent keys share most of them.
+    """
+    if once:
+        known = known.join(known.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # at most as many as join_keys() has
+        hubs = hubs.join(hubs.groupBy("hub").agg(F.collect_set("key").alias("hub_keys")), "hub")
+    pairs = known.join(hubs, "key").where("label <> hub_label").where(F.least("chars", "hub_chars") >= F.greatest("chars", "hub_chars") * MIN_SIMILARITY)
+    pairs = pairs.where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("hub_simhash"))) <= MAX_BITS)
+    return pairs.where("key = array_min(array_intersect(keys, hub_keys))") if once else pairs
+
+
 def merged(ws: Workspace, labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """node and label of components, after further links (a, b): the components they join are joined."""
     if labels is None:
@@ -253,8 +266,7 @@ def labels_by_rounds(ws: Workspace, members: DataFrame, norms: DataFrame) -> Dat
     tried, labels, most = None, None, 1
     while True:
         hubs = ws.table(hubs_of(known, most), "hubs") if most else as_hubs(known)
-        pairs = known.join(hubs, "key").where("label <> hub_label").where(F.least("chars", "hub_chars") >= F.greatest("chars", "hub_chars") * MIN_SIMILARITY)
-        pairs = pairs.where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("hub_simhash"))) <= MAX_BITS)
+        pairs = met(known, hubs, tried is not None)
         if not most:
             pairs = pairs.where("node < hub")  # each of them is a hub to the other
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()

@@ -615,6 +615,15 @@ def test_line_dedup_leaves_one_table(spark):
     assert sum(len(glob.glob(f"{base.removeprefix('file://')}/*")) for base in left) == 1
 
 
+def test_members_of_many_keys_meet_once(spark):
+    """Ten members that share twelve keys, three of them hubs of all keys and one of some: each meets a hub in one row."""
+    known = spark.createDataFrame([(k, n, 100, 0, n) for k in range(12) for n in range(10)] + [(99, 3, 100, 0, 3), (99, 4, 100, 0, 4)], "key bigint, node bigint, chars int, simhash bigint, label bigint")
+    hubs = lines.as_hubs(known.where("node < 3 OR node = 3 AND key IN (5, 7, 99)"))
+    rows = [(r.node, r.hub) for r in lines.met(known, hubs, True).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(n, h) for n in range(10) for h in range(4) if n != h}
+    assert set(rows) == {(r.node, r.hub) for r in lines.met(known, hubs, False).collect()}
+
+
 def test_hot_key_of_lines_that_are_not_alike(spark):
     """Lines that share all the keys of one half and are linked in two groups alone."""
     rng = random.Random(12)
