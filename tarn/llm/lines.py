@@ -14,9 +14,10 @@ themselves find few of the pairs (the README has the measured recall).
 Members of a key are first compared with a hub, and links are joined into components. A hub, which has met all others, leaves its
 key, and keys whose members are then in more than one component take HUBS times as many hubs as before, of the components
 with fewest members of the key first, so that a few members that are apart are compared with all the others. A hub is
-compared with members of other components alone, and no pair twice. Of a round's pairs, those that bounds on the edit distance
-decide are linked first; the others are compared as wholes if they are still in different components. When a round links nothing, or few pairs are left, all
-that is left is compared at once: in the end, any two members of a key are in one component or have been compared.
+compared with members of other components alone, and no pair twice. Rounds link the pairs that bounds on the edit distance decide.
+When a round links nothing, or few pairs are left, all that is left is compared at once. Of the pairs of all rounds that bounds leave
+open, those that are in different components after the last one are then compared as wholes: in the end, any two members of a
+key are in one component or have been compared.
 
 Lines without letters or digits stay. Null texts have no lines and stay null; a text all of whose lines go becomes empty.
 Rows with the same id and text are one document to this operator: all of them keep the same lines. Columns besides the id
@@ -38,10 +39,8 @@ BITS, LANES, MAX_BITS, MIN_SIMILARITY = 60, 4, 20, 0.9
 SKETCHES, BLOCKS = 3, 4
 #: Lines of at most so many words are also joined on their halves.
 SHORT = 24
-#: Lines are first compared in chunks of so many characters, the longer ones for lines of more than LONG chunks, each with ANCHOR at its end looked for within SLACK.
-CHUNKS, LONG, ANCHOR, SLACK = (32, 256, 2048), 4, 8, 24
-#: Up to so many pairs that bounds leave open are compared without another look at their components.
-FEW_UNSURE = 5_000
+#: Lines are first compared in chunks of so many characters, the longer ones for lines of more than LONG chunks, each with ANCHOR at its end looked for within SLACK, and after LOST chunks WIDE as far off as the bound allows.
+CHUNKS, LONG, ANCHOR, SLACK, LOST, WIDE = (32, 256, 2048), 4, 8, 24, 3, 24
 #: By so much the hubs of a key grow from round to round.
 HUBS = 4
 #: Narrow rows, of which up to so many are broadcast.
@@ -80,7 +79,7 @@ def sketched(lines: DataFrame) -> DataFrame:
     keys = ["doc_id", "text_key", "line_no", "k1", "k2", "chars"]
     named = lines.select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
     halved = named.select(*keys, halves(F.col("words")).alias("halves"), F.array_distinct(pair_hashes(F.col("words"))).alias("hashes"))
-    ordered = halved.select(*keys, "halves", *(F.sort_array(F.transform("hashes", in_order(x))).alias(c) for c, x in zip(SKETCH, ORDERS, strict=True)))
+    ordered = halved.select(*keys, "halves", *(F.sort_array(F.transform("hashes", in_order(x)) if x else "hashes").alias(c) for c, x in zip(SKETCH, ORDERS, strict=True)))
     blocks = lambda c: reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(F.coalesce(F.get(c, F.lit(i)), F.lit(0)).bitwiseAND(F.lit(0xFFFF)), 16 * i) for i in range(BLOCKS)))
     return ordered.select(*keys, *(blocks(c).alias(c) for c in SKETCH), *(F.get("halves", F.lit(i)).alias(c) for i, c in enumerate(HALF)))
 
@@ -127,8 +126,8 @@ def _as_long(a: str, b: str) -> Column:
     return F.least(f"{a}.chars", f"{b}.chars") >= F.greatest(f"{a}.chars", f"{b}.chars") * MIN_SIMILARITY
 
 
-def tested(pairs: DataFrame, norms: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, with most and v: bounded() of their normal forms. norms: node and norm.
+def with_norms(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, with their normal forms x and y, and most: the edit distance they may have. norms: node and norm.
 
     Where pairs are counted to be few enough, they are sent to the normal forms, and only the forms they name move.
     """
@@ -138,16 +137,32 @@ def tested(pairs: DataFrame, norms: DataFrame) -> DataFrame:
         y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     two = x.join(F.broadcast(pairs) if few else pairs, "a").join(y, "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    return two.withColumn("most", most).select("a", "b", "most", F.expr(bounded("x", "y", "most")).alias("v"))
+    return two.select("a", "b", "x", "y", most.alias("most"))
+
+
+def tested(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, with near: whether bounds say that they are alike, or null where they don't say."""
+    return with_norms(pairs, norms).select("a", "b", F.expr(bounded("x", "y", "most")).getField("near").alias("near"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are in different components."""
+    known = small(labels, NARROW_ROWS)
+    ends = pairs.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left")
+    return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
 
+def linked_wholes(ws: Workspace, pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), a written table, that are alike, by the edit distance of wholes.
 
-def linked_wholes(unsure: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) of tested() that bounds leave open and that are alike; of different components, where labels are given. Dealt out evenly, as each takes long."""
-    if labels is not None:
-        known = small(labels, NARROW_ROWS)
-        unsure = unsure.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    n = int(unsure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return unsure.select("a", "b", "most", "v.x", "v.y").repartition(n, "a", "b").where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    They are dealt out evenly, as each takes long. That is written down: Spark would take a filter by distance before the
+    exchange, and before any join that spares it pairs.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ws.table(with_norms(pairs, norms).repartition(n, "a", "b"), "wholes")
+    found = ws.table(dealt.where(F.expr(whole("x", "y", "most"))).select("a", "b"), "links")
+    ws.drop(dealt)
+    return found
 
 
 def core(x: str, y: str) -> str:
@@ -168,13 +183,19 @@ def no_less(x: str, y: str, most: str, chunk: int) -> str:
     """An upper bound on the edit distance of x and y in a time that grows with their length, or some number above `most`.
 
     x is cut into chunks. A chunk's last ANCHOR characters are looked for in y at most SLACK characters off where they should
-    be, and y is cut behind them; where they aren't found, the next chunk is taken with this one, and after eight of them y is
-    cut where x is. Distances of pieces of the same place sum to no less than that of the wholes.
+    be, and y is cut behind them; where they aren't found, the next chunk is taken with this one. After LOST of them its last WIDE
+    characters are looked for at most `most` off, as there may be a passage in one of the lines alone, and after eight y is
+    cut where x is. Distances of pieces of the same place sum to no less than that of the wholes; they aren't taken beyond
+    what is left of `most`.
     """
     end = f"(i * {chunk})"
-    distance = lambda a, b: f"transform(array(struct({a} AS a, {b} AS b)), r -> CASE WHEN r.a = r.b THEN 0 ELSE levenshtein(r.a, r.b) END)[0]"
+    left = f"({most} - s.sum)"
+    limited = f"coalesce(nullif(levenshtein(r.a, r.b, {left}), -1), {left} + 1)"
+    distance = lambda a, b: f"transform(array(struct({a} AS a, {b} AS b)), r -> CASE WHEN r.a = r.b THEN 0 WHEN length(r.a) > 2 * {left} THEN {limited} ELSE levenshtein(r.a, r.b) END)[0]"
     found = f"locate(substring({x}, {end} - {ANCHOR - 1}, {ANCHOR}), substring({y}, s.py + 1, {end} - s.px + {SLACK}), greatest(1, {end} - s.px - {SLACK + ANCHOR}))"
-    taken = f"CASE WHEN q > 0 THEN q + {ANCHOR - 1} WHEN {end} - s.px >= 8 * {chunk} THEN {end} - s.px END"
+    wide = f"locate(substring({x}, {end} - {WIDE - 1}, {WIDE}), substring({y}, s.py + 1, {end} - s.px + {most}), greatest(1, {end} - s.px - {WIDE} - {most}))"
+    lost = f"transform(array({wide}), w -> CASE WHEN w > 0 THEN w + {WIDE - 1} WHEN {end} - s.px >= 8 * {chunk} THEN {end} - s.px END)[0]"
+    taken = f"CASE WHEN q > 0 THEN q + {ANCHOR - 1} WHEN {end} - s.px >= {LOST} * {chunk} THEN {lost} END"
     piece = distance(f"substring({x}, s.px + 1, {end} - s.px)", f"substring({y}, s.py + 1, n)")
     step = f"transform(array({found}), q -> transform(array({taken}), n -> CASE WHEN n IS NULL THEN s ELSE struct({end} AS px, s.py + n AS py, s.sum + {piece} AS sum) END)[0])[0]"
     rest = distance(f"substring({x}, s.px + 1)", f"substring({y}, s.py + 1)")
@@ -183,24 +204,28 @@ def no_less(x: str, y: str, most: str, chunk: int) -> str:
 
 
 def bounded(x: str, y: str, most: str) -> str:
-    """A struct: near, whether the edit distance of x and y is at most `most`, or null where bounds don't say; then x and y, their cores.
+    """A struct of near: whether the edit distance of x and y is at most `most`, or null where bounds don't say.
 
     Where wholes have an edit distance of d and lengths that differ by n, equally long beginnings, and ends, have one of at most
     d + n, and less is compared; an upper bound that is within `most` decides as well.
     """
-    both, x, y = core(x, y), "c.x", "c.y"
-    apart = f"({most} + abs(length({x}) - length({y})))"
-    far_apart = [f"levenshtein({end}({x}, 2 * {apart} + 16), {end}({y}, 2 * {apart} + 16), {apart}) < 0" for end in ("left", "right")]
-    far_apart = f"least(length({x}), length({y})) > 4 * {apart} + {LONG * max(CHUNKS)} AND ({' OR '.join(far_apart)})"
-    within = " ".join(f"WHEN length({x}) >= {LONG * n if n > min(CHUNKS) else 0} AND {no_less(x, y, most, n)} <= {most} THEN true" for n in CHUNKS)
-    near = f"CASE WHEN abs(length({x}) - length({y})) > {most} THEN false {within} WHEN {far_apart} THEN false END"
-    open_ = lambda s: f"CASE WHEN near IS NULL THEN {s} END"
-    return f"transform(array({both}), c -> transform(array({near}), near -> struct(near, {open_(x)} AS x, {open_(y)} AS y))[0])[0]"
+    apart = f"({most} + abs(length(c.x) - length(c.y)))"
+    far_apart = [f"levenshtein({end}(c.x, 2 * {apart} + 16), {end}(c.y, 2 * {apart} + 16), {apart}) < 0" for end in ("left", "right")]
+    far_apart = f"least(length(c.x), length(c.y)) > 4 * {apart} + {LONG * max(CHUNKS)} AND ({' OR '.join(far_apart)})"
+    within = " ".join(f"WHEN length(c.x) >= {LONG * n if n > min(CHUNKS) else 0} AND {no_less('c.x', 'c.y', most, n)} <= {most} THEN true" for n in CHUNKS)
+    cores = f"transform(array({core(x, y)}), c -> CASE {within} WHEN {far_apart} THEN false END)[0]"
+    long_ = f"length({x}) >= {LONG * CHUNKS[1]}"  # of shorter ones, cores take longer than they spare
+    return f"struct(CASE WHEN abs(length({x}) - length({y})) > {most} THEN false WHEN {long_} THEN {cores} WHEN {no_less(x, y, most, CHUNKS[0])} <= {most} THEN true END AS near)"
+
+
+def whole(x: str, y: str, most: str) -> str:
+    """Whether the edit distance of x and y is at most `most`, by their cores. It takes time in the square of a length."""
+    return f"transform(array({core(x, y)}), c -> levenshtein(c.x, c.y, {most}) >= 0)[0]"
 
 
 def alike(x: str, y: str, most: str) -> Column:
-    """Whether the edit distance of x and y is at most `most`. It takes time in the square of a length, and is taken only where bounds leave it open."""
-    return F.expr(f"transform(array({bounded(x, y, most)}), v -> coalesce(v.near, levenshtein(v.x, v.y, {most}) >= 0))[0]")
+    """Whether the edit distance of x and y is at most `most`; that of wholes is taken only where bounds leave it open."""
+    return F.expr(f"coalesce({bounded(x, y, most)}.near, {whole(x, y, most)})")
 
 
 def norms_of(ws: Workspace, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -264,7 +289,7 @@ def labels_by_rounds(ws: Workspace, members: DataFrame, norms: DataFrame) -> Dat
     """Components' labels (node, label) of the links among members (key, node, chars, simhash); see the module's account of hubs."""
     known = ws.table(members.withColumn("label", F.col("node")), "known")
     tried, labels, most = None, None, 1
-    while True:
+    while known is not None:
         hubs = ws.table(hubs_of(known, most), "hubs") if most else as_hubs(known)
         pairs = met(known, hubs, tried is not None)
         if not most:
@@ -272,30 +297,31 @@ def labels_by_rounds(ws: Workspace, members: DataFrame, norms: DataFrame) -> Dat
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         pairs = ws.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         verdicts = ws.table(tested(pairs, norms), "tested")
-        found, unsure = verdicts.where("v.near").select("a", "b"), verdicts.where("v.near IS NULL")
-        tried, linking = pairs if tried is None else tried.unionAll(pairs), False
-        if many := unsure.limit(FEW_UNSURE + 1).count() > FEW_UNSURE:  # most of them are then within a component
-            linking = not found.isEmpty()
-            labels = merged(ws, labels, found) if linking or labels is None else labels
-        wholes = ws.table(linked_wholes(unsure, labels), "links")
-        found = wholes if many else found.unionAll(wholes)
-        if not found.isEmpty() or labels is None:
-            linking, labels = linking or not found.isEmpty(), merged(ws, labels, found)
-        ws.drop(verdicts)
-        if not most:
-            return labels
-        rest = known.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        if linking:
-            rest = rest.withColumnRenamed("label", "own").join(small(labels, NARROW_ROWS), "node", "left").withColumn("label", F.coalesce("label", "own")).drop("own")
-        rest = ws.table(rest.select("key", "node", "chars", "simhash", "label"), "rest")
-        mixed = ws.table(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "mixed")
-        left = mixed.agg(F.sum("n").alias("entries"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-        if not left.entries:
-            return labels
-        ws.drop(known)
-        known = ws.table(rest.join(small(mixed.select("key"), NARROW_ROWS), "key"), "known")
-        ws.drop(rest)
-        most = most * HUBS if linking and left.pairs > FEW_PAIRS * left.entries else 0
+        ws.drop(pairs)
+        tried = verdicts if tried is None else tried.unionAll(verdicts)
+        found = verdicts.where("near").select("a", "b")
+        linking = not found.isEmpty()
+        if linking or labels is None:
+            labels = merged(ws, labels, found)
+        known, most = left_of(ws, known, hubs, labels, most, linking) if most else (None, 0)
+    unsure = ws.table(apart(tried.where("near IS NULL"), labels), "unsure")
+    return merged(ws, labels, linked_wholes(ws, unsure, norms))
+
+
+def left_of(ws: Workspace, known: DataFrame, hubs: DataFrame, labels: DataFrame, most: int, linking: bool) -> tuple[DataFrame | None, int]:
+    """What a round leaves of known: the members, without hubs, of keys in more than one component, or None; and how many hubs the next round takes, 0 for all."""
+    rest = known.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+    if linking:
+        rest = rest.withColumnRenamed("label", "own").join(small(labels, NARROW_ROWS), "node", "left").withColumn("label", F.coalesce("label", "own")).drop("own")
+    rest = ws.table(rest.select("key", "node", "chars", "simhash", "label"), "rest")
+    mixed = ws.table(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "mixed")
+    left = mixed.agg(F.sum("n").alias("entries"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+    if not left.entries:
+        return None, 0
+    ws.drop(known)
+    out = ws.table(rest.join(small(mixed.select("key"), NARROW_ROWS), "key"), "known")
+    ws.drop(rest)
+    return out, most * HUBS if linking and left.pairs > FEW_PAIRS * left.entries else 0
 
 
 def occurrences_to_drop(docs: DataFrame) -> DataFrame:

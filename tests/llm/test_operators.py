@@ -605,6 +605,44 @@ def test_bounds_decide_most_that_is_alike(spark):
     assert sum(bool(r.v.near) for r in got) >= 0.9 * len(got)
 
 
+def test_bounds_find_their_place_after_a_passage(spark):
+    """Lines of which one has a passage more, longer than anchors are off by: decided without the distance of wholes."""
+    rng = random.Random(71)
+    rows = []
+    for n in (100, 160):
+        for _ in range(10):
+            words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            more = [f"v{rng.randrange(3000)}" for _ in range(n // 14)]
+            rows.append((" ".join(words[:1] + ["a"] + words[1:]), " ".join(words[: n // 3] + more + words[n // 3 :] + ["b"])))
+    df = spark.createDataFrame([(x, y, max(len(x), len(y)) // 10) for x, y in rows], "x string, y string, most int")
+    got = df.select(F.expr(lines.bounded("x", "y", "most")).alias("v"), F.expr("levenshtein(x, y) <= most").alias("alike")).collect()
+    assert all(r.alike for r in got)
+    assert all(r.v.near for r in got)
+
+
+def test_wholes_are_compared_after_the_last_round_alone(spark, monkeypatch):
+    """Pairs that bounds leave open and other links join are never compared as wholes, and those compared are written down before."""
+    written, compared, table, linked_wholes = [], [], Workspace.table, lines.linked_wholes
+
+    def named(self, df, name="t"):
+        written.append(name)
+        return table(self, df, name)
+
+    def counted(ws, pairs, norms):
+        compared.append(pairs.count())
+        return linked_wholes(ws, pairs, norms)
+
+    monkeypatch.setattr(Workspace, "table", named)
+    monkeypatch.setattr(lines, "linked_wholes", counted)
+    # bounds say nothing of a pair with an odd sum
+    monkeypatch.setattr(lines, "tested", lambda pairs, norms: pairs.selectExpr("a", "b", "CASE WHEN pmod(a + b, 2) = 0 THEN true END AS near"))
+    members = spark.createDataFrame([(k, n, 30, 0) for k in (1, 2) for n in range(6)] + [(3, 6, 30, 0), (3, 9, 30, 0)], "key bigint, node bigint, chars int, simhash bigint")
+    norms = spark.createDataFrame([(n, "one line of words in some order"[: 31 - n % 2]) for n in range(7)] + [(9, "x" * 30)], "node bigint, norm string")
+    got = {r.node: r.label for r in lines.labels_by_rounds(Workspace(spark, "test"), members, norms).collect()}
+    assert got == dict.fromkeys(range(6), 0)
+    assert len(compared) == 1 and compared[0] <= 10 and written.count("wholes") == 1
+
+
 def test_line_dedup_leaves_one_table(spark):
     """What a job wrote for itself is gone when its result is there to be read."""
     opened = Workspace.opened(spark)
