@@ -161,6 +161,39 @@ def ranked(df: DataFrame, name: str, by: list[Column]) -> DataFrame:
     return rows.withColumn("__local", local).join(F.broadcast(offsets), "__range").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__local")).alias(name))
 
 
+def quantiles(df: DataFrame, keys: list[str], cuts: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """keys and, by name, quantiles of double columns: (kind, column, fraction), of kind cont or disc. Exact; nulls don't count.
+
+    Values are counted and dealt out by ranges, and each range knows the counts of those before it, so that only the ranges
+    that hold a quantile are looked into and no task has all values of a group.
+    """
+    ws = Workspace(df.sparkSession, "quantiles")
+    columns = list(dict.fromkeys(c for _, c, _ in cuts.values()))
+    rows = df.select(F.struct(*keys).alias("g"), F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(columns)))).alias("v"))
+    counts = rows.where("v.x IS NOT NULL").groupBy("g", "v.c", "v.x").agg(F.count("*").alias("n"))
+    ranges = ws.table(counts.repartitionByRange("g", "c", "x").withColumn("range", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy("g", "c")
+    before = F.coalesce(F.sum("n").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranges.groupBy("g", "c", "range").agg(F.sum("n").alias("n")).select("*", before.alias("before"), F.sum("n").over(group).alias("total"))
+    # the places, from 0, of the values that a quantile is made of
+    at = {k: F.col("total") * f - 1 if kind == "disc" else (F.col("total") - 1) * f for k, (kind, _, f) in cuts.items()}
+    place = {k: F.greatest(F.ceil(p), F.lit(0)) if cuts[k][0] == "disc" else F.floor(p) for k, p in at.items()}
+    ends = [F.struct(F.lit(columns.index(cuts[k][1])).alias("c"), F.lit(k).alias("name"), F.lit(e).alias("end"), (F.ceil(at[k]) if e else place[k]).alias("place"), at[k].cast("double").alias("at")) for k in cuts for e in ((0, 1) if cuts[k][0] == "cont" else (0,))]
+    asked = parts.withColumn("e", F.explode(F.array(*ends))).where("c = e.c AND e.place >= before AND e.place < before + n")
+    asked = ws.table(asked.select(F.col("g").alias("ag"), F.col("range").alias("arange"), F.col("c").alias("ac"), "before", "e.name", "e.end", "e.place", "e.at"), "asked")
+    held = ranges.join(asked.select("ag", "arange", "ac", "before").distinct(), F.col("g").eqNullSafe(F.col("ag")) & (F.col("range") == F.col("arange")) & (F.col("c") == F.col("ac")))
+    upto = held.select("g", "c", "range", "x", "n", (F.col("before") + F.sum("n").over(Window.partitionBy("g", "c", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).alias("upto"))
+    found = upto.join(asked, F.col("g").eqNullSafe(F.col("ag")) & (F.col("range") == F.col("arange")) & (F.col("c") == F.col("ac"))).where("place < upto AND place >= upto - n")
+    one = lambda k, e, x: F.max(F.when((F.col("name") == k) & (F.col("end") == e), F.col(x)))
+    made = {}
+    for k, (kind, _, _) in cuts.items():
+        low, high, where = one(k, 0, "x"), one(k, 1, "x"), one(k, 0, "at")
+        made[k] = low if kind == "disc" else F.when(low == high, low).otherwise((F.ceil(where) - where) * low + (where - F.floor(where)) * high)
+    values = found.groupBy(F.col("g").alias("vg")).agg(*(c.alias(k) for k, c in made.items()))
+    groups = df.select(F.struct(*keys).alias("g")).distinct().join(values, F.col("g").eqNullSafe(F.col("vg")), "left")
+    return groups.select(*(F.col(f"g.`{k}`") for k in keys), *cuts)
+
+
 def numbered(df: DataFrame, name: str, start: int = 1, step: int = 1, by: list[Column] | None = None) -> DataFrame:
     """A sequence's values, gap-free in an order, or by partition and place without one."""
     if by:

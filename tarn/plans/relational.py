@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.plans.registry import sql_query
+from pyspark.sql import functions as F
+
+from tarn.operators import relational
+from tarn.plans.registry import query, sql_query, table
 
 # Scans and projections -------------------------------------------------------------------------------------------------
 sql_query("scan_projection", "SELECT o_orderkey, o_totalprice FROM {orders}", tables="orders")
@@ -64,9 +67,18 @@ sql_query("agg_statistics", """
 SELECT l_returnflag, round(stddev(l_quantity), 8) AS sd, round(stddev_pop(l_quantity), 8) AS sdp, round(variance(l_quantity), 6) AS v, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 8) AS c
 FROM {lineitem} GROUP BY l_returnflag""", tables="lineitem")
 sql_query("agg_statistics_of_one", "SELECT r_regionkey, stddev_samp(CAST(r_regionkey AS DOUBLE)) AS sd, var_samp(CAST(r_regionkey AS DOUBLE)) AS v FROM {region} GROUP BY r_regionkey", tables="region")
-sql_query("agg_percentiles", """
+
+
+@query("agg_percentiles", """
 SELECT l_linestatus, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity), 8) AS q1, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 6) AS p90, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS med
-FROM {lineitem} GROUP BY l_linestatus""", tables="lineitem")
+FROM lineitem GROUP BY l_linestatus""")
+def agg_percentiles(spark, sf_dir):
+    """Spark's own percentiles gather a map of all values of a group in one task."""
+    cuts = {"q1": ("cont", "l_quantity", 0.25), "p90": ("cont", "l_extendedprice", 0.9), "med": ("disc", "l_extendedprice", 0.5)}
+    found = relational.quantiles(table(spark, sf_dir, "lineitem"), ["l_linestatus"], cuts)
+    return found.select("l_linestatus", F.round("q1", 8).alias("q1"), F.round("p90", 6).alias("p90"), "med")
+
+
 sql_query("agg_empty_input", "SELECT count(*) AS n, max(o_totalprice) AS m, CAST(sum(o_custkey) AS BIGINT) AS s FROM {orders} WHERE o_orderkey < 0", tables="orders")
 sql_query("agg_vector_sum", "SELECT label, posexplode.pos AS i, round(sum(CAST(posexplode.col AS DOUBLE)), 4) AS s FROM {embeddings} LATERAL VIEW posexplode(embedding) posexplode AS pos, col GROUP BY label, posexplode.pos", "SELECT label, (i - 1)::INTEGER AS i, round(sum(embedding[i]::DOUBLE), 4) AS s FROM embeddings, range(1, 65) r(i) GROUP BY label, i", "embeddings")
 sql_query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}", tables="lineitem")

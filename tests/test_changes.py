@@ -66,3 +66,28 @@ def test_ranked_by_ranges(spark):
     assert [r.n for r in got] == list(range(1, 5001))
     assert relational.ranked(df.limit(0), "n", [F.col("v")]).count() == 0
     assert rows(relational.numbered(spark.createDataFrame([("b",), ("a",)], "k string"), "s", 10, 5, [F.col("k")])) == [("a", 10), ("b", 15)]
+
+
+def test_quantiles_of_odd_groups(spark):
+    """As Spark's own: null groups and values, groups of nulls alone, single values, ties and NaN."""
+    data = [("a", float(i % 7), float(i)) for i in range(101)] + [(None, 1.5, None), (None, None, 2.0), (None, 4.0, -3.0)] + [("n", None, None), ("one", 3.0, -0.0)]
+    data += [("b", 5.0, float(i // 2)) for i in range(40)] + [("nan", float("nan"), 1.0), ("nan", 2.0, float("inf"))]
+    df = spark.createDataFrame(data, "k string, x double, y double").repartition(5)
+    cuts, want = {}, []
+    for kind in ("cont", "disc"):
+        for c in "xy":
+            for f in (0.0, 0.25, 0.5, 0.9, 1.0):
+                name = f"{kind}_{c}_{int(f * 100)}"
+                cuts[name] = (kind, c, f)
+                want.append(f"percentile_{kind}({f}D) WITHIN GROUP (ORDER BY {c}) AS {name}")
+    expected = spark.sql(f"SELECT k, {', '.join(want)} FROM {{df}} GROUP BY k", df=df)
+    plain = lambda df: [tuple("NaN" if v != v else v for v in r) for r in rows(df)]
+    assert plain(relational.quantiles(df, ["k"], cuts)) == plain(expected)
+    assert relational.quantiles(df.where("false"), ["k"], cuts).count() == 0
+
+
+def test_percentiles_do_not_gather_groups(spark):
+    from tarn import plans
+
+    df = plans.QUERIES["agg_percentiles"](spark, "/root/testdata/sf0.001")
+    assert "percentile" not in df._jdf.queryExecution().toString().lower()
